@@ -33,7 +33,8 @@ from . import common
 MAX_LABELLED, FEATURES = 5000, 512
 FOLDS, ROUNDS, PENALTY, LEAST_GAIN = 3, 30, 0.05, 4.0
 PREFIXES = (4, 5, 6)
-#: Decision thresholds are chosen among these, by F1 of the out-of-fold predictions.
+#: Decision thresholds are chosen among these, by F1 of the out-of-fold predictions where their precision is this at least.
+PRECISION = 0.95
 THRESHOLDS = tuple(i / 20 for i in range(1, 11))
 #: In the chain's order: category and its condition on the labels.
 CATEGORIES = (
@@ -141,10 +142,11 @@ def select_words(rows: list[set[bytes]], y: np.ndarray) -> list[bytes]:
 
 
 def threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the thresholds with the best F1; the largest where there is none to find."""
-    f1 = [2 * y[p > t].sum() / max(1, y.sum() + (p > t).sum()) for t in THRESHOLDS]
-    best = [t for t, f in zip(THRESHOLDS, f1, strict=True) if f >= max(f1) - 1e-12]
-    return best[len(best) // 2] if max(f1) > 0 else THRESHOLDS[-1]
+    """The middle of the thresholds of best F1 among those with PRECISION; the largest where there is none."""
+    hits = [(t, y[p > t].sum(), (p > t).sum()) for t in THRESHOLDS]
+    sure = [(t, 2 * h / (y.sum() + n)) for t, h, n in hits if n and h >= PRECISION * n]
+    best = [t for t, f1 in sure if f1 >= max(f for _, f in sure) - 1e-12]
+    return best[len(best) // 2] if best else THRESHOLDS[-1]
 
 
 def fit_rows(rows: list[set[bytes]], y: np.ndarray, names: tuple[str, ...]) -> Chain:
