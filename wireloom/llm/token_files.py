@@ -19,8 +19,8 @@ by their ids. An empty table gives no blocks. Extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from . import common
 #: Appended to every document.
 END = 1
 #: Entries of each of a worker's caches before it is emptied.
-CACHE = 250_000
+CACHE = 200_000
 #: Ids in a block, but for longer documents.
 BLOCK = 1 << 19
 ROWS_PER_BUCKET = 8192
@@ -50,6 +50,17 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def id_type(vocabulary: int) -> str:
+    """The narrowest unsigned integers for ids on their way to the files."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def vocabulary_type(path: str) -> str:
+    from tokenizers import Tokenizer
+
+    return id_type(Tokenizer.from_file(path).get_vocab_size())
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,7 +70,8 @@ class WordEncoder:
         visible = _visible()
         self.alphabet = [visible[b] for b in range(256)]
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.size = self.whole.get_vocab_size()
+        self.marks = {s[0] for s in self.special}
+        self.kind = id_type(self.whole.get_vocab_size())
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -68,17 +80,18 @@ class WordEncoder:
             if len(self.pieces) > CACHE:
                 self.pieces.clear()
             shown = p if p.isascii() and p.isprintable() else "".join(map(self.alphabet.__getitem__, p.encode()))
-            got = self.pieces[p] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            got = self.pieces[p] = np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
         return got
 
     def word(self, w: bytes) -> bytes:
         text = w.decode()
-        if max(text) < "Ā" and not any(s in text for s in self.special):
+        plain = text.isascii() or max(text) < "Ā"
+        if plain and (self.marks.isdisjoint(text) or not any(s in text for s in self.special)):
             return b"".join(map(self.piece, PIECE.findall(text.lower())))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+        """The ids as little-endian unsigned integers of ``kind``."""
         words = text.encode().split()
         if len(self.words) > CACHE:
             self.words.clear()
@@ -87,28 +100,34 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(path)
+
+
 def tokenize(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
-    """(id, k, ids, n): ids as unsigned integers of 32 bits, with the end id."""
+    """(id, k, ids): ids as unsigned integers of ``vocabulary_type``, with the end id."""
     slim = df.select(F.col(key).cast("long").alias("id"), common.order_key(key).alias("k"), F.col(text).alias("body"))
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], vocabulary_type(path)).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path)
+        encoder = encoder_for(path)
         for b in batches:
             ids = [encoder.encode(t or "") + tail for t in b.body]
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "k": b.k, "ids": ids, "n": [len(x) // 4 for x in ids]})
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "k": b.k, "ids": ids})
 
     common.bound_arrow_batches(df.sparkSession)
-    return slim.mapInPandas(run, "id long, k long, ids binary, n long")
+    return slim.mapInPandas(run, "id long, k long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
     """(token, count) over all documents; each task sends its non-zero counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            got = np.bincount(np.frombuffer(b"".join(b.ids), "<u4"))
+            got = np.bincount(np.frombuffer(b"".join(b.ids), kind))
             if len(got) > len(total):
                 got[: len(total)] += total
                 total = got
@@ -154,8 +173,9 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 BLOCKS = "bucket int, seq int, doc_ids array<long>, lengths array<long>, n_ids long, control binary, data binary"
 
 
-def write(tokens: DataFrame, path: str, by_rank: np.ndarray, bounds: list[int]) -> None:
+def write(tokens: DataFrame, path: str, by_rank: np.ndarray, bounds: list[int], kind: str) -> None:
     """Write the blocks in ascending order of k. One shuffle, of the ids; tasks stream through their sorted rows."""
+    width = np.dtype(kind).itemsize
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
@@ -163,9 +183,9 @@ def write(tokens: DataFrame, path: str, by_rank: np.ndarray, bounds: list[int])
         bucket, seq, held, ids, size = None, 0, [], [], 0
 
         def block() -> pd.DataFrame:
-            flat = rank[np.frombuffer(b"".join(held), "<u4")]
+            flat = rank[np.frombuffer(b"".join(held), kind)]
             control, data = encode_ranks(flat)
-            return pd.DataFrame({"bucket": [bucket], "seq": [seq], "doc_ids": [ids], "lengths": [[len(x) // 4 for x in held]], "n_ids": [len(flat)], "control": [control], "data": [data]})
+            return pd.DataFrame({"bucket": [bucket], "seq": [seq], "doc_ids": [ids], "lengths": [[len(x) // width for x in held]], "n_ids": [len(flat)], "control": [control], "data": [data]})
 
         for b in batches:
             for where, doc, body in zip(b.bucket, b["id"], b.ids, strict=True):
@@ -175,7 +195,7 @@ def write(tokens: DataFrame, path: str, by_rank: np.ndarray, bounds: list[int])
                 bucket = where
                 held.append(body)
                 ids.append(None if pd.isna(doc) else int(doc))
-                size += len(body) // 4
+                size += len(body) // width
         if held:
             yield block()
 
@@ -227,7 +247,8 @@ def write_corpus(documents: DataFrame, tokenizer: str, path: str) -> None:
     bounds = common.bucket_bounds(documents.select(common.order_key("doc_id").alias("k")), F.col("k"), ROWS_PER_BUCKET)
     tokenize(documents, tokenizer).write.parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
-    write(tokens, path, rank_table(id_counts(tokens)), bounds)
+    kind = vocabulary_type(tokenizer)
+    write(tokens, path, rank_table(id_counts(tokens, kind)), bounds, kind)
 
 
 def word_tokenizer(name: str = "word_bpe_49k.json") -> str:
