@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """df as a table written in the folder of spark.checkpoint.dir; a temporary folder only where that is unset.
+
+    A written table's size is known. A checkpoint keeps the estimate of the plan that it cuts, and as a join is
+    estimated at the product of its sides, the digits of the estimates double from round to round.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wireloom-"))
-    return df.checkpoint(eager=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
