@@ -9,9 +9,10 @@ keeps exactly one copy of each, whatever executors are lost, on any store that S
 
 Decoding looks up each control byte in a 256 x 4 table of code lengths and gathers the bytes of all ids at once.
 
-Ids come from the tokenizers library. Its answer for a word, split at ASCII white space (which the tokenizer drops), is
-cached; words of Latin-1 are cut into the pieces that the tokenizer's pattern gives, and pieces go to the library's
-model; other words go through the whole library. Both caches are emptied when full.
+Ids come from the tokenizers library. Texts of Latin-1 are cut into the pieces that the tokenizer's pattern gives, and
+pieces go to the library's model; so are the Latin-1 words of other texts, split at ASCII white space (which the tokenizer
+drops), but their other words go through the whole library. Answers are cached in two generations: entries that are met
+again move from the old one to the young one, and when the young one is full it becomes the old one, whose rest goes.
 
 Nulls count as empty texts; an empty text has only the end id. Rows of equal (or null, which come first) doc_id follow
 by their ids. An empty table gives no blocks. Extra columns are not read.
@@ -19,9 +20,11 @@ by their ids. An empty table gives no blocks. Extra columns are not read.
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,7 @@ from . import common
 
 #: Appended to every document.
 END = 1
-#: Entries of each of a worker's caches before it is emptied.
+#: Entries of a generation of a worker's cache.
 CACHE = 200_000
 #: Ids in a block, but for longer documents.
 BLOCK = 1 << 19
@@ -42,6 +45,9 @@ MAX_VOCABULARY = 1 << 20
 #: The tokenizer's own pattern for lower-case Latin-1, spelt out.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
+#: UTF-8 lead bytes of code points from U+0100 on.
+BEYOND = re.compile(rb"[\xc4-\xff]")
+
 
 def _visible() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256 on."""
@@ -61,6 +67,22 @@ def vocabulary_type(path: str) -> str:
     return id_type(Tokenizer.from_file(path).get_vocab_size())
 
 
+class Generations:
+    """A bounded cache that keeps what is met often."""
+
+    def __init__(self, make: Callable):
+        self.make, self.young, self.old = make, {}, {}
+
+    def __getitem__(self, key):
+        if (got := self.young.get(key)) is None:
+            if (got := self.old.get(key)) is None:
+                got = self.make(key)
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[key] = got
+        return got
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,35 +91,44 @@ class WordEncoder:
         self.model = self.whole.model
         visible = _visible()
         self.alphabet = [visible[b] for b in range(256)]
-        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.marks = {s[0] for s in self.special}
+        self.special = tuple(t.content.encode() for t in self.whole.get_added_tokens_decoder().values())
         self.kind = id_type(self.whole.get_vocab_size())
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def piece(self, p: str) -> bytes:
-        if (got := self.pieces.get(p)) is None:
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
-            shown = p if p.isascii() and p.isprintable() else "".join(map(self.alphabet.__getitem__, p.encode()))
-            got = self.pieces[p] = np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
-        return got
-
-    def word(self, w: bytes) -> bytes:
-        text = w.decode()
-        plain = text.isascii() or max(text) < "Ā"
-        if plain and (self.marks.isdisjoint(text) or not any(s in text for s in self.special)):
-            return b"".join(map(self.piece, PIECE.findall(text.lower())))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        self.code = {"<u2": "H", "<u4": "I"}[self.kind]
+        self.known = Generations(self.ids)
+
+    def ids(self, key: str | bytes) -> bytes:
+        """Of a lower-case piece of Latin-1, or of the bytes of any word."""
+        if isinstance(key, bytes):
+            found = self.whole.encode(key.decode(), add_special_tokens=False).ids
+        else:
+            shown = key if key.isascii() and key.isprintable() else "".join(map(self.alphabet.__getitem__, key.encode()))
+            found = [t.id for t in self.model.tokenize(shown)]
+        return array.array(self.code, found).tobytes()
+
+    def other(self, body: bytes) -> bool:
+        """Whether a text is more than Latin-1 without special tokens: whether a lead byte above that of U+00FF occurs."""
+        return any(s in body for s in self.special) or not body.isascii() and bool(BEYOND.search(body))
+
+    def keys(self, text: str) -> list[str | bytes]:
+        body = text.encode()
+        if not self.other(body):
+            return PIECE.findall(text.lower())
+        words = body.split()
+        others = {w for w in set(words) if self.other(w)}
+        out: list[str | bytes] = []
+        for apart, run in itertools.groupby(words, others.__contains__):
+            out += run if apart else PIECE.findall(b" ".join(run).decode().lower())
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of ``kind``."""
-        words = text.encode().split()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        for w in set(words).difference(self.words):
-            self.words[w] = self.word(w)
-        return b"".join(map(self.words.__getitem__, words))
+        keys = self.keys(text)
+        young = self.known.young
+        for k in set(keys).difference(young):
+            self.known[k]
+        if young is not self.known.young:  # a generation ended inside this text
+            return b"".join(map(self.known.__getitem__, keys))
+        return b"".join(map(young.__getitem__, keys))
 
 
 @functools.lru_cache(maxsize=1)
