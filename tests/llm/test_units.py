@@ -114,6 +114,14 @@ def test_links_of_crowded_terms(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_long_chains_end(spark):
+    n = 3000
+    edges = spark.range(n).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    edges = edges.unionAll(spark.createDataFrame([(5, 7), (7, 5), (7, 6)], "a long, b long"))
+    got = simhash.components(edges).groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("low")).collect()
+    assert sorted(r.n for r in got) == [3, n + 1] and all(r.root == r.low for r in got)
+
+
 def test_block_search_with_many_ties():
     rng = np.random.default_rng(5)
     vectors = rng.integers(-3, 4, (700, 6)).astype(float)

@@ -168,18 +168,21 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge: the smallest node reachable.
 
-    Each round takes the least label among neighbours and jumps to that label's own label; rounds grow with the
-    logarithm of long chains in practice. Labels and edges stay distributed.
+    Each round a node and its root take the least root that the node hears from its neighbours, and then that root's own
+    root, so whole trees move at once and rounds grow with the logarithm of a chain's length. Roots and edges stay
+    distributed. Roots are written tables, of known size: a checkpoint keeps the estimate of the plan that it cuts, a
+    join is estimated at the product of its sides, and the estimates' digits would multiply from round to round.
     """
     both = common.cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a")).distinct())
-    label = both.groupBy("node").agg(F.least("node", F.min("other")).alias("root"))
-    label = common.cut(label)
+    label = common.written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), "roots")
     while True:
         heard = both.join(label.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("heard"))
-        best = label.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
+        low = F.least("root", "heard")
+        own, hook = F.struct("node", F.col("root").alias("was"), low.alias("root")), F.struct(F.col("root").alias("node"), F.lit(None).cast("long").alias("was"), low.alias("root"))
+        best = label.join(heard, "node").select(F.inline(F.array(own, hook))).groupBy("node").agg(F.max("was").alias("was"), F.min("root").alias("root"))
+        best = common.written(best, "roots")
         jump = best.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        after = best.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("far", "root")).alias("root"))
-        after = common.cut(after)
+        after = common.written(best.join(jump, "root").select("node", "was", F.col("far").alias("root")), "roots")
         label = after.select("node", "root")
         if after.where("root != was").isEmpty():
             return label
