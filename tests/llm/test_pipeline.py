@@ -84,3 +84,35 @@ def test_awkward_rows(spark, tmp_path):
         (labels if name == "full" else labels.limit(0)).write.parquet(f"{d}/labels.parquet")
         got = pipeline.run(spark, d)
         assert (got.count() > 0) == (name == "full")
+
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n=200):
+    return [hashlib.sha256(f"{seed}-{i}".encode()).hexdigest()[:6] for i in range(n)]
+
+
+def test_near_dedup_reaches_similarity_08(spark):
+    """Copies with 3 to 4 words changed in 200 (similarity 0.82 to 0.86) go, unlike ones of 9 (0.63); chains go as one."""
+    data = []
+    for k in range(40):
+        base = prose(k)
+        data.append((10 * k, " ".join(base)))
+        for j, edits in enumerate((3, 4, 9), 1):
+            at = {(17 + 20 * i + j) % 195 for i in range(edits)}
+            data.append((10 * k + j, " ".join("new" + w if i in at else w for i, w in enumerate(base))))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], SHAPE)
+    got = {r.doc_id for r in pipeline.near_dedup_stage(spark, docs, "").collect()}
+
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in data}
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    root = {i: i for i in sets}
+    for k in range(40):
+        ids = range(10 * k, 10 * k + 4)
+        for _ in ids:
+            for a in ids:
+                for b in ids:
+                    if similar(a, b):
+                        root[a] = root[b] = min(root[a], root[b])
+    assert got == set(root.values()) and len(got) == 80

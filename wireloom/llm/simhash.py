@@ -35,21 +35,25 @@ SMALL = 32
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 
 
-def simhash(text: str | None, words: int) -> int:
-    """Bits that are set in over half of the shingles' XXH64 (seed 42), repeats included; zero without words."""
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """The shingles' XXH64 (seed 42) in the order of the text, repeats included; none without words."""
     import xxhash
 
     tokens = (text or "").encode().lower().split()  # of bytes: A-Z only, and white space is 09-0D and 20
-    if not tokens:
-        return 0
     if len(tokens) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(tokens), 42)]
-    else:
-        body = b" ".join(tokens)
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate([[0], ends[: len(tokens) - words] + 1]).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(body[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(tokens), 42)] if tokens else []
+    body = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[: len(tokens) - words] + 1]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(body[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
+
+
+def simhash(text: str | None, words: int) -> int:
+    """Bits that are set in over half of the shingles' hashes; zero without words."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bounded, however long the text is
         part = np.array(hashes[i : i + (1 << 16)], np.uint64)
