@@ -116,3 +116,13 @@ def test_near_dedup_reaches_similarity_08(spark):
                     if similar(a, b):
                         root[a] = root[b] = min(root[a], root[b])
     assert got == set(root.values()) and len(got) == 80
+
+
+def test_near_dedup_tells_rows_apart(spark):
+    """Rows of null or repeated ids stay where their texts differ; copies of a text go."""
+    texts = [" ".join(prose(f"row-{k}", 50)) for k in range(30)]
+    data = [(None if k % 2 else 7, t, "en", "a", len(t)) for k, t in enumerate(texts)]
+    data += [data[0], data[1], (3, texts[2], "en", "b", len(texts[2]))]
+    got = pipeline.near_dedup_stage(spark, spark.createDataFrame(data, SHAPE), "").collect()
+    assert sorted(r.text for r in got) == sorted(texts)
+    assert {r.doc_id for r in got if r.text == texts[2]} == {3}
