@@ -58,12 +58,12 @@ def order_boxes(spark: SparkSession, sf_dir: str) -> Graphs:
     return Graphs(nodes, lines.select("graph_id", "edge_id", "label"), incidence, interface)
 
 
-def supply_network(spark: SparkSession, sf_dir: str, modulus: int = 97) -> Graphs:
-    """One graph: an edge for each order whose key is divisible by modulus, from its parts to its customer.
+def supply_network(spark: SparkSession, sf_dir: str) -> Graphs:
+    """One graph: an edge for each order that has lines, from its parts to its customer.
 
-    Part p is node 2p, customer c node 2c + 1. The modulus belongs to the family: it keeps the graph in several components.
+    Part p is node 2p, customer c node 2c + 1.
     """
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % modulus == 0).select(F.col("o_orderkey").alias("edge_id"), "o_custkey", F.col("o_orderpriority").alias("label"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("edge_id"), "o_custkey", F.col("o_orderpriority").alias("label"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edge_id"), "l_partkey")
     sources = orders.join(lines, "edge_id").select("edge_id", (F.col("l_partkey") * 2).alias("node_id")).distinct()
     port = (F.row_number().over(Window.partitionBy("edge_id").orderBy("node_id")) - 1).cast("int")
