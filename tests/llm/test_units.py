@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from wireloom.llm import bpe, fingerprints, licenses, secrets, simhash, token_files, topk, toxicity
+from wireloom.llm import bpe, fingerprints, licenses, mixing, secrets, simhash, token_files, topk, toxicity
 
 
 def test_changed_branches(spark):
@@ -149,3 +149,65 @@ def test_chain_without_labels_or_categories():
     chain = toxicity.fit_rows(rows, y, ("bad", "never"))
     p = chain.probabilities(chain.presence(["so bad", "good", ""]))
     assert p[0, 0] > chain.thresholds[0] > p[1, 0] and (p[:, 1] == 0).all()
+
+
+def queue_of_words(docs, order, weights, budget, most=2):
+    """Words taken of each document (id, source, size): the words of all queues by the virtual times of their middles, until the budget."""
+    line = []
+    for i, s in enumerate(sorted({d[1] for d in docs}, key=lambda x: (x is None, x))):
+        own = sorted((d for d in docs if d[1] == s), key=lambda d: order[d[0]])
+        at = 0
+        for epoch in range(most):
+            for d in own:
+                for _ in range(d[2]):
+                    at += 1
+                    line.append(((at - 0.5) / weights[i % len(weights)], i, epoch, d[0]))
+    line.sort()
+    taken = dict.fromkeys((d[0] for d in docs), 0)
+    for x in line[:budget]:
+        taken[x[3]] += 1
+    return taken, len(line)
+
+
+def test_mixing_equals_a_queue_of_words(spark):
+    rng = random.Random(6)
+    for n, longest in ((40, 9), (60, 400), (1, 5)):
+        docs = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([0, 1, rng.randint(1, longest)])) for i in range(n)]
+        df = spark.createDataFrame([(i, "w " * k, s) for i, s, k in docs], "doc_id long, text string, source string")
+        order = {r.doc_id: (r.h, r.doc_id) for r in df.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("h")).collect()}
+        budget = int(1.5 * sum(d[2] for d in docs))
+        want, words = queue_of_words(docs, order, [3.0, 1.0, 2.0], budget)
+        rows, stream = mixing.mix(df)
+        assert {r.id: r.taken for r in rows.collect()} == want
+        # The truncation alone decides: without it every word of both epochs would be taken.
+        assert sum(want.values()) == budget and words == 2 * sum(d[2] for d in docs)
+        served = [r.served for r in stream.orderBy("position").collect()]
+        assert sum(served) == budget
+        whole = mixing.mix(df, whole=True)[0].collect()
+        assert all(r.taken == r.size * r.times or r.size == 0 and r.times == 1 for r in whole)
+        assert abs(sum(r.taken for r in whole) - budget) <= max(d[2] for d in docs) / 2
+
+
+def test_long_pre_tokens_merge_as_short_ones():
+    codec = bpe.Codec(bpe.rank_file())
+    rng = random.Random(8)
+    for k in range(200):
+        piece = "".join(rng.choices("aabtheing", k=rng.randint(2, 300))).encode()
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:  # the definition: join the leftmost pair of lowest rank
+            ranked = [(codec.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in codec.ranks]
+            if not ranked:
+                break
+            i = min(ranked)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert bpe.merge_long(piece, codec.ranks) == tuple(codec.ranks[p] for p in parts)
+
+
+def test_decoding_by_offsets(spark):
+    texts = [(1, "one two  three's"), (2, ""), (3, None), (4, "a " * 10_000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    tokens = bpe.encode(df, bpe.rank_file())
+    got = {r.doc_id: bytes(r.body).decode() for r in bpe.decode(tokens, bpe.rank_file()).collect()}
+    assert got == {i: t or "" for i, t in texts}
+    part = {r.doc_id: bytes(r.body).decode() for r in bpe.decode(tokens, bpe.rank_file(), first=1, last=3).collect()}
+    assert part == {i: "".join(bpe.pre_tokens([t or ""])[0][1:3]) for i, t in texts}

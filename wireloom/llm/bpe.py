@@ -7,7 +7,8 @@ small monoid, and composing is a look-up in its table, so prefixes are composed
 before each character and its class then say whether a pre-token starts there.
 
 The slices feed pair merging through a cache that is emptied when full. ``encode_texts`` also returns each text's
-offsets (tokens before each pre-token), so that a pre-token's ids can be decoded alone.
+offsets (tokens before each pre-token): decoding goes by them, run of pre-tokens by run, and any run can be decoded alone.
+Short pre-tokens are merged in place, long ones by a heap.
 
 Nulls count as empty texts, an empty text has no ids, repeated rows get equal results, an empty table gives an empty
 result. Extra columns are not read.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -29,6 +31,10 @@ from . import common
 
 #: Pre-tokens that a worker's cache holds before it is emptied.
 CACHE = 200_000
+#: Bytes from which a pre-token is merged by a heap.
+LONG = 64
+#: Pre-tokens that are decoded at once.
+RUN = 4096
 #: Code points that are scanned at once, but for longer texts.
 CHUNK = 1 << 20
 
@@ -164,6 +170,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of a pre-token: the adjacent pair of lowest rank is joined, leftmost first, until none has a rank."""
     if piece in ranks:
         return (ranks[piece],)
+    if len(piece) > LONG:
+        return merge_long(piece, ranks)
     parts = [piece[i : i + 1] for i in range(len(piece))]
     never = 1 << 60
     pairs = [ranks.get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
@@ -178,6 +186,38 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[p] for p in parts)
 
 
+def merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """As ``merge``, by a heap of (rank, start) over a linked list of parts: n log n for a pre-token of any length."""
+    n = len(piece)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
+    heap = [(r, i) for i, r in enumerate(rank) if r >= 0]
+    heapq.heapify(heap)
+
+    def pair(i: int) -> None:
+        j = after[i]
+        rank[i] = ranks.get(piece[i : after[j]], -1) if j < n else -1
+        if rank[i] >= 0:
+            heapq.heappush(heap, (rank[i], i))
+
+    while heap:
+        r, i = heapq.heappop(heap)
+        if rank[i] != r:  # changed or gone since
+            continue
+        j = after[i]
+        after[i], rank[j] = after[j], -1
+        if after[i] < n:
+            before[after[i]] = i
+        pair(i)
+        if before[i] >= 0:
+            pair(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : after[i]]])
+        i = after[i]
+    return tuple(out)
+
+
 @functools.lru_cache(maxsize=4)
 def load_ranks(path: str) -> tuple[dict[bytes, int], list[bytes]]:
     """Ranks by bytes and bytes by rank of a rank file."""
@@ -214,6 +254,13 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.by_rank.__getitem__, ids))
 
+    def decode_runs(self, ids: list[int], offsets: list[int], first: int = 0, last: int | None = None) -> Iterator[bytes]:
+        """Bytes of pre-tokens first to last (exclusive), RUN of them at a time: the offsets say which ids are theirs."""
+        last = len(offsets) if last is None else min(last, len(offsets))
+        for i in range(first, last, RUN):
+            j = min(i + RUN, last)
+            yield self.decode(ids[offsets[i] : offsets[j] if j < len(offsets) else len(ids)])
+
 
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>, offsets array<int>) of each text."""
@@ -230,6 +277,20 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     return slim.mapInPandas(run, f"`{key}` {kind}, ids array<int>, offsets array<int>")
 
 
+def decode(tokens: DataFrame, path: str, key: str = "doc_id", first: int = 0, last: int | None = None) -> DataFrame:
+    """(key, body binary) of the rows of ``encode``, or only of each text's pre-tokens first to last (exclusive)."""
+    slim = tokens.select(key, "ids", "offsets")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = Codec(path)
+        for b in batches:
+            body = [b"".join(codec.decode_runs(list(i), list(o), first, last)) for i, o in zip(b.ids, b.offsets, strict=True)]
+            yield pd.DataFrame({key: b.iloc[:, 0].array, "body": body})
+
+    common.bound_arrow_batches(tokens.sparkSession)
+    return slim.mapInPandas(run, f"`{key}` {slim.schema[0].dataType.simpleString()}, body binary")
+
+
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256); the arrays stay in the worker."""
     slim = df.select(key, text)
@@ -239,9 +300,12 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
         decimal = list(map(str, range(len(codec.by_rank))))
         for b in batches:
             rows = []
-            for ids, _ in codec.encode_texts([t if t is not None else "" for t in b.iloc[:, 1]]):
+            for ids, offsets in codec.encode_texts([t if t is not None else "" for t in b.iloc[:, 1]]):
                 shown = ",".join(map(decimal.__getitem__, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
+                decoded = hashlib.sha256()
+                for part in codec.decode_runs(ids, offsets):
+                    decoded.update(part)
+                rows.append((len(ids), hashlib.sha256(shown).hexdigest(), decoded.hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, key, b.iloc[:, 0].array)
             yield out
