@@ -37,6 +37,64 @@ def test_redaction(spark):
     assert df.select(secrets.redact(F.col("text"), F.col("found")).alias("t")).first().t == "ab [REDACTED] cd"
 
 
+def test_ledger_is_kept_and_each_blob_scanned_once(spark, tmp_path):
+    rows = [(1, "password=abcdefgh1"), (2, "nothing"), (3, None), (4, "password=abcdefgh1"), (None, "AKIAABCDEFGH1234")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"blob": F.lit("x"), "spans": F.lit(1), "found": F.lit(1), "path": F.lit(2)})
+    at = f"{tmp_path}/ledger"
+    ledger = secrets.ingest([df.where("doc_id <= 2"), df], at)
+    assert ledger.count() == 4 * len(secrets.RULES) == ledger.select("blob", "rule", "version").distinct().count()
+    files = spark.read.parquet(at).inputFiles()
+    secrets.ingest([df], at)  # nothing is new
+    assert spark.read.parquet(at).count() == 4 * len(secrets.RULES) and set(files) <= set(spark.read.parquet(at).inputFiles())
+    found = {r.doc_id: [tuple(x) for x in r.found] for r in secrets.findings(df, ledger).collect()}
+    assert found == {1: [(0, 0, 18)], 2: [], 3: [], 4: [(0, 0, 18)], None: [(0, 1, 16)]}
+    assert secrets.findings(df, ledger.unionAll(ledger)).select("doc_id", "found").exceptAll(secrets.findings(df, ledger).select("doc_id", "found")).isEmpty()
+
+
+def test_added_rules_and_many_matches(spark):
+    import re
+    import time
+
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab0+/" * 40 + "=\n-----END RSA PRIVATE KEY-----"
+    texts = {
+        "pem": [f"x {key} y", "-----BEGIN PRIVATE KEY-----\n" + "\n".join(["Ab0+/cde" * 8] * 30) + "\nprose goes on", "-----BEGIN PRIVATE KEY----- none"],
+        "jwt": ["a eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKK b", "xeyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKK", "eyJ" * 200_000],
+        "github": ["ghp_" + "a" * 36 + " gho_short"],
+        "slack": ["xoxb-1234567890-abc"],
+        "assign": ["token=abcdefgh1 \U0001f600 é " * 20_000, "token=short " * 20_000],
+        "hex": [("f" * 32 + " ") * 30_000],
+    }
+    began = time.time()
+    for rule in secrets.RULES:
+        if rule.name in texts:
+            df = spark.createDataFrame([(t,) for t in texts[rule.name]], "t string")
+            pattern = re.sub(r"\(\((\?i):(.*?)\)\)", r"((?i:\2))", rule.pattern)
+            got = df.select("t", secrets.spans(F.col("t"), rule).alias("s")).collect()
+            for r in got:
+                assert [tuple(x) for x in r.s] == [m.span() for m in re.finditer(pattern, r.t, re.A) if len(m[rule.group]) >= rule.least]
+            for r in df.select("t", secrets.redact(F.col("t"), triples_of(rule)).alias("d")).collect():
+                assert r.d == re.sub(pattern, lambda m: "[REDACTED]" if len(m[rule.group]) >= rule.least else m[0], r.t, flags=re.A)
+    assert time.time() - began < 120
+
+
+def triples_of(rule):
+    return F.transform(secrets.spans(F.col("t"), rule), lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("kind"), x["end"].alias("end")))
+
+
+def test_redaction_over_pieces_and_overlaps(spark):
+    rng = random.Random(9)
+    for n in (0, 1, secrets.PIECE, 3 * secrets.PIECE + 7):
+        text = "".join(rng.choices("aé中😀", k=n))
+        cuts = sorted((a, 0, min(n, a + rng.choice([1, 5, secrets.PIECE + 3]))) for a in rng.sample(range(n), min(n, 40)))
+        df = spark.createDataFrame([(text, cuts)], "text string, found array<struct<start:int,kind:int,end:int>>")
+        want, at = "", 0
+        for a, _, b in cuts:
+            if a >= at:
+                want += text[at:a] + "[REDACTED]"
+            at = max(at, b)
+        assert df.select(secrets.redact(F.col("text"), F.col("found")).alias("t")).first().t == want + text[at:]
+
+
 def test_variable_length_coding():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 1000):
@@ -141,6 +199,70 @@ def test_notices_with_errors():
     assert [(s, e) for s, e, _, _ in licenses.notices_in(text)] == [(10000, len(text))]
 
 
+def ends_within(text, notice, edits):
+    """(end, errors) of all places: the least edit distance of the notice to a part of the text that ends there."""
+    row = list(range(len(notice) + 1))
+    found = []
+    for j, ch in enumerate(text, 1):
+        new = [0]
+        for i, p in enumerate(notice, 1):
+            new.append(min(row[i - 1] + (p != ch), row[i] + 1, new[i - 1] + 1))
+        row = new
+        if row[-1] <= edits:
+            found.append((j, row[-1]))
+    return found
+
+
+def distance(a, b):
+    row = list(range(len(a) + 1))
+    for j, ch in enumerate(b, 1):
+        new = [j]
+        for i, p in enumerate(a, 1):
+            new.append(min(row[i - 1] + (p != ch), row[i] + 1, new[i - 1] + 1))
+        row = new
+    return row[-1]
+
+
+def damaged(rng, notice, k):
+    out = list(notice)
+    for _ in range(k):
+        i = rng.randrange(len(out))
+        rng.choice([lambda: out.pop(i), lambda: out.insert(i, rng.choice("abe ")), lambda: out.__setitem__(i, rng.choice("xyz"))])()
+    return "".join(out)
+
+
+def test_every_damaged_notice_is_found():
+    rng = random.Random(11)
+    for _ in range(150):
+        picked = rng.sample(range(len(licenses.NOTICES)), 3)
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            _, notice, edits = licenses.NOTICES[rng.choice(picked)]
+            parts += [damaged(rng, notice, rng.randint(0, edits + 2)), rng.choice(["", " ", " ab ", " some words between "])]
+        text = b" ".join(licenses.normal("".join(parts))).decode()
+        found = licenses.notices_in(text)
+        assert len(found) == len(set(found))
+        for i in picked:
+            _, notice, edits = licenses.NOTICES[i]
+            own = [(a, b, e) for a, b, n, e in found if n == i]
+            assert all(b <= c for (_, b, _), (c, _, _) in zip(own, own[1:]))
+            for a, b, e in own:
+                assert distance(notice, text[a:b]) <= e <= edits
+            for end, _ in ends_within(text, notice, edits):
+                # Any such place has len(notice) - edits characters at least.
+                assert any(a < end and end - (len(notice) - edits) < b for a, b, _ in own), (text, notice, end)
+
+
+def test_notices_side_by_side_and_their_spans():
+    text = "RELESED  under teh MIT-license;\n Released under the MIT license"
+    n, places, found = licenses.examine(text)
+    assert [(f[2], f[3]) for f in found] == [(0, 3), (0, 0)] and n == 10 and places == [(6, "mit")]
+    spans = licenses.in_text(text, [f[:2] for f in found])
+    assert [text[a:b] for a, b in spans] == ["RELESED  under teh MIT-license", "Released under the MIT license"]
+    many = "released under the mit license " * 3000
+    assert len(licenses.notices_in(many.strip())) == 3000
+
+
 def test_chain_without_labels_or_categories():
     empty = toxicity.fit_rows([], np.zeros((0, 2)), ("a", "b"))
     assert (empty.probabilities(empty.presence(["x", None])) == 0).all()
