@@ -180,16 +180,42 @@ def test_long_chains_end(spark):
     assert sorted(r.n for r in got) == [3, n + 1] and all(r.root == r.low for r in got)
 
 
-def test_block_search_with_many_ties():
+def brute_top(vectors, queries, k):
+    """vectors, queries: [(id, integers)]."""
+    out = []
+    for i, x in queries:
+        found = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in vectors if j != i and len(x) == len(y))[:k]
+        out += [(i, n + 1, j, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
+def test_search_with_ties_wide_cells_and_waves(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    vectors = rng.integers(-3, 4, (700, 6)).astype(float)
-    vectors[100:500] = vectors[100]
-    ids = np.arange(700) * 3
-    at, found, score = topk.search_block(vectors[:50], ids[:50], vectors, ids, 20)
-    exact = vectors[:50] @ vectors.T
-    for q in range(50):
-        want = sorted((-exact[q, i], ids[i]) for i in range(700) if i != q)[:20]
-        assert [(-s, i) for s, i in zip(score[at == q], found[at == q])] == want
+    near = rng.integers(-3, 4, (300, 6)).astype(float)
+    near[50:200] = near[50]
+    wide = rng.integers(-100_000, 100_000, (300, 6)).astype(float)
+    wide[7, 0] = 1e9
+    huge = np.array([[1e30, 1.0], [1e30, 0.0], [-1e25, 3.0], [5.0, 5.0], [2.0**40, 2.0**31], [2.0**40, 2.0**31 + 1]])
+    monkeypatch.setattr(topk, "STRIPE", 40)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    monkeypatch.setattr(topk, "WAVE", 2)
+    for m, k in ((near, 20), (wide, 5), (huge, 2), (near[:3], 20)):
+        data = [(3 * i, [int(x) for x in v]) for i, v in enumerate(m)]
+        df = spark.createDataFrame([(i, v.tolist()) for (i, _), v in zip(data, m)] + [(1, None), (None, [1.0] * m.shape[1]), (2, [float("nan")] * m.shape[1])], "vec_id long, embedding array<double>")
+        df = df.withColumns({"id": F.lit("x"), "v": F.lit(1), "rank": F.lit(2)}).repartition(5)
+        got = sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 15 = 0"), k, scale=1).collect())
+        assert got == brute_top(data, [x for x in data if x[0] % 15 == 0], k)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(12)
+    for scale in (10, 300, 10**6):
+        v, q = rng.integers(-scale, scale, (200, 16)).astype(float), rng.integers(-scale, scale, (20, 16)).astype(float)
+        got = [topk.approximate(x) for x in v]
+        cells = np.array([np.frombuffer(g[2], np.uint8) for g in got], float)
+        lower, upper = topk.bounds(q, np.array([g[0] for g in got]), np.array([g[1] for g in got]), cells)
+        exact = q @ v.T
+        assert (lower <= exact).all() and (exact <= upper).all() and ((lower == upper).all() == (scale == 10))
 
 
 def test_notices_with_errors():

@@ -1,20 +1,29 @@
 """Exact top-k search with vector-approximation files.
 
-Vectors of integers are approximated by cells ``CELL`` wide in each dimension. For a block of queries and a block of vectors the
-cells alone bound every inner product from both sides; vectors whose upper bound is below the k-th largest lower bound
-are out. Exact vectors are then read in the order of their bounds, in growing steps, until the k-th exact score is
-above every bound still unread. The k best of each pair of blocks meet by query.
-
-Both sides are cut into blocks by a hash of the id, so that one task holds BLOCK vectors and QUERIES queries whatever
-the input; the query set is stated, and every vector is met in blocks.
-
-Vectors that are null or hold null or non-finite components take no part, on either side. Ties go to the smaller id,
-equal rows are answered and found once, vectors of another length are not compared; null ids take no part. Empty tables
+Vectors of integers are written twice: exactly, and as an approximation file of one byte a component. A vector has 256 cells of
+its own between its least and its largest component, so its approximation is its least component, the cells' width and
+the cells. One matrix product of queries and cells bounds every inner product from both sides; where a vector's
+components span less than 256 the cells are single integers and the bounds meet.
+
+The approximations are scanned in stripes of STRIPE vectors against groups of QUERIES queries, in waves of 16 stripes, then
+16 times as many, and so on. In a stripe a vector is out if its upper bound is below the k-th largest lower bound of that
+stripe or of all waves before; each wave so leaves about 16 k candidates a query, whatever the input. After the last wave the
+k-th lower bound of all candidates cuts them once more. Exact vectors are then read by the pairs that are left, in the order of
+their bounds: first k for each query, then those whose bound reaches the k-th exact score so found; no other can be among the k.
+
+Of equal vectors only the k + 1 smallest ids can matter, so only these go on, and copies don't multiply pairs. The
+query set is stated, and every vector is met in stripes.
+
+Vectors that are null or hold null or non-finite components (also after scaling) take no part, on either side. Ties go to the
+smaller id, equal rows are answered and found once, vectors of another length are not compared; null ids take no part.
+Scores are exact integers of any size in ranking; one beyond a long is reported as the long nearest to it. Empty tables
 give empty results; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,76 +31,146 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CELL = 4
-BLOCK, QUERIES = 1024, 512
+CELLS = 256
+STRIPE, QUERIES, WAVE = 8192, 1024, 16
+#: Queries whose bounds are held at once.
+STEP = 128
+#: Sums of integers below this are exact in doubles.
+EXACT = 2.0**52
+
+ROW = ["id", "h"]
+PAIR = "query_id long, query_h long, vec_id long, vec_h long, lower double, upper double"
 
 
 def scaled(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component as double; null where the vector takes no part."""
-    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(vector.isNotNull() & F.coalesce(ok, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")))
-
-
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, id, score) of each query's k best of the block. Ids ascend; scores are exact integers."""
-    low = np.floor(vectors / CELL) * CELL
-    high = low + CELL - 1
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    upper, lower = plus @ high.T + minus @ low.T, plus @ low.T + minus @ high.T
-    own = query_ids[:, None] == ids[None, :]
-    upper[own], lower[own] = -np.inf, -np.inf
-    n = len(ids)
-    kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
-    upper[upper < kth[:, None]] = -np.inf
-    order = np.argsort(-upper, axis=1, kind="stable")
-    bound = np.take_along_axis(upper, order, axis=1)
-    out_q, out_id, out_score = [], [], []
-    open_, read = np.arange(len(queries)), min(n, 2 * k)
-    while len(open_):
-        seen = order[open_, :read]
-        exact = np.einsum("qnd,qd->qn", vectors[seen], queries[open_])
-        exact[np.isneginf(bound[open_, :read])] = -np.inf
-        if read < n:
-            at = np.partition(exact, read - k, axis=1)[:, read - k] if read > k else np.full(len(open_), -np.inf)
-            done = (bound[open_, read] < at) | np.isneginf(bound[open_, read])
-        else:
-            done = np.ones(len(open_), bool)
-        for i in np.flatnonzero(done):
-            best = np.lexsort((ids[seen[i]], -exact[i]))[:k]
-            best = best[~np.isneginf(exact[i][best])]
-            out_q.append(np.full(len(best), open_[i]))
-            out_id.append(ids[seen[i]][best])
-            out_score.append(exact[i][best])
-        open_ = open_[~done]
-        read = min(n, 2 * read)
-    join = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
-    return join(out_q, np.int64), join(out_id, np.int64), join(out_score, np.int64)
+    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) != float("inf")))
+    whole = lambda y: F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+    return F.when(vector.isNotNull() & F.coalesce(ok, F.lit(False)), F.transform(vector, lambda x: whole(x.cast("double") * scale) + 0.0))
+
+
+def approximate(v: np.ndarray) -> tuple[float, float, bytes]:
+    """(least component, width of a cell, cells): component i is in [least + width * cell, least + width * (cell + 1) - 1]."""
+    if not len(v):
+        return 0.0, 1.0, b""
+    least = v.min()
+    width = np.floor((v.max() - least) / CELLS) + 1
+    return least, width, np.clip(np.floor((v - least) / width), 0, CELLS - 1).astype(np.uint8).tobytes()
+
+
+def approximations(rows: DataFrame) -> DataFrame:
+    """rows(id, h, d, v) as (id, h, d, least, width, cells)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [approximate(v) for v in b.v]
+            yield pd.DataFrame({"id": b["id"], "h": b.h, "d": b.d, "least": [x[0] for x in got], "width": [x[1] for x in got], "cells": [x[2] for x in got]})
+
+    return rows.select(*ROW, "d", "v").mapInPandas(run, "id long, h long, d int, least double, width double, cells binary")
+
+
+def bounds(queries: np.ndarray, least: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) of every inner product. Beyond exact doubles the bounds are widened by what rounding may take."""
+    base = least * queries.sum(1)[:, None] + width * (queries @ cells.T)
+    size = np.abs(queries).sum(1)[:, None] * (np.abs(least) + CELLS * width)
+    err = np.where(size < EXACT, 0.0, size * 2.0**-40)
+    lower = base + (width - 1) * np.minimum(queries, 0).sum(1)[:, None] - err
+    return lower, base + (width - 1) * np.maximum(queries, 0).sum(1)[:, None] + err
+
+
+def survivors(lower: np.ndarray, upper: np.ndarray, ids: np.ndarray, own: int, k: int, t_lower: float, t_id: int) -> np.ndarray:
+    """Positions that may be among one query's k best. Ids ascend; (t_lower, t_id) is the k-th best lower bound known."""
+    other = ids != own
+    if np.count_nonzero(other) >= k:
+        low = np.where(other, lower, -np.inf)
+        at = np.flatnonzero(low >= np.partition(low, len(low) - k)[len(low) - k])
+        at = at[np.argsort(-low[at], kind="stable")[k - 1]]
+        if (low[at], -ids[at]) > (t_lower, -t_id):
+            t_lower, t_id = low[at], ids[at]
+    return np.flatnonzero(other & ((upper > t_lower) | (upper == t_lower) & (ids <= t_id)))
+
+
+def score_exactly(q: np.ndarray, v: np.ndarray) -> int:
+    if np.abs(q).sum() * np.abs(v).max(initial=0.0) < EXACT:
+        return int(q @ v)
+    return sum(int(a) * int(b) for a, b in zip(q, v, strict=True))
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, query_h, t_lower, t_id): each query's k-th best lower bound, where it has k candidates."""
+    best = Window.partitionBy("query_id", "query_h").orderBy(F.desc("lower"), "vec_id", "vec_h")
+    ranked = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    return ranked.where(F.col("n") == k).select("query_id", "query_h", F.col("lower").alias("t_lower"), F.col("vec_id").alias("t_id"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query, its own id apart."""
-    ready = lambda df: df.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").distinct()
-    rows, asked = ready(vectors), ready(queries)
-    blocks = max(1, -(-rows.count() // BLOCK))
+    common.bound_arrow_batches(vectors.sparkSession)
+    c, q = F.col, ["query_id", "query_h"]
+
+    def ready(df: DataFrame) -> DataFrame:
+        slim = df.select(c(key).cast("long").alias("id"), scaled(c(vector), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+        return slim.select("id", "v", F.xxhash64("v").alias("h"), F.size("v").alias("d")).dropDuplicates(["id", "h", "v"])
+
+    same = Window.partitionBy("h", "v").orderBy("id")
+    rows = common.written(ready(vectors).withColumn("n", F.row_number().over(same)).where(c("n") <= k + 1).drop("n"), "vectors")
+    asked = common.written(ready(queries).withColumnsRenamed({"id": "query_id", "h": "query_h"}), "queries")
+    stripes = max(1, -(-rows.count() // STRIPE))
     groups = max(1, -(-asked.count() // QUERIES))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("id", "v", F.size("v").alias("d"), part(groups).alias("g"), spread(blocks).alias("b"))
-    right = rows.select("id", "v", F.size("v").alias("d"), part(blocks).alias("b"), spread(groups).alias("g"))
-
-    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        v = v.sort_values("id", kind="stable")
-        a, b = np.stack(q.v.to_numpy()), np.stack(v.v.to_numpy())
-        if a.shape[1] and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2**52:
-            raise ValueError("scores are beyond exact doubles")
-        at, ids, score = search_block(a, q["id"].to_numpy(), b, v["id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": q["id"].to_numpy()[at], "vec_id": ids, "score": score})
-
-    found = left.groupBy("g", "b", "d").cogroup(right.groupBy("g", "b", "d")).applyInPandas(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dealt = lambda n, by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    cells = common.written(approximations(rows).withColumn("s", dealt(stripes, ROW)), "approximations")
+
+    def run(asked: pd.DataFrame, file: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(file):
+            file = file.sort_values(ROW, kind="stable")
+            ids, h = file["id"].to_numpy(), file.h.to_numpy()
+            least, width = file.least.to_numpy(), file.width.to_numpy()
+            of = np.frombuffer(b"".join(file.cells), np.uint8).reshape(len(file), -1).astype(float)
+            for i in range(0, len(asked), STEP):
+                some = asked.iloc[i : i + STEP]
+                lower, upper = bounds(np.stack(some.v.to_numpy()), least, width, of)
+                for j, x in enumerate(some.itertuples()):
+                    at = survivors(lower[j], upper[j], ids, x.query_id, k, x.t_lower, x.t_id)
+                    out.append(pd.DataFrame({"query_id": x.query_id, "query_h": x.query_h, "vec_id": ids[at], "vec_h": h[at], "lower": lower[j][at], "upper": upper[j][at]}))
+        return pd.concat(out) if out else pd.DataFrame({x.split()[0]: [] for x in PAIR.split(", ")})
+
+    found, first, size = None, 0, WAVE
+    while first < stripes:
+        last = min(stripes, first + size)
+        spread = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b - 1)))
+        known = asked.join(_kth(found, k), q, "left") if found is not None else asked.withColumns({"t_lower": F.lit(None).cast("double"), "t_id": F.lit(None).cast("long")})
+        known = known.withColumns({"t_lower": F.coalesce("t_lower", F.lit(float("-inf"))), "t_id": F.coalesce("t_id", F.lit(2**63 - 1))})
+        left = known.select(*q, "v", "d", "t_lower", "t_id", dealt(groups, q).alias("g"), spread(first, last).alias("s"))
+        right = cells.where((c("s") >= first) & (c("s") < last)).withColumn("g", spread(0, groups))
+        wave = common.written(left.groupBy("g", "s", "d").cogroup(right.groupBy("g", "s", "d")).applyInPandas(run, PAIR), "candidates")
+        found, first, size = wave if found is None else found.unionAll(wave), last, size * WAVE
+
+    cut = found.join(_kth(found, k), q, "left")
+    cut = cut.where("t_lower IS NULL OR upper > t_lower OR upper = t_lower AND vec_id <= t_id")
+    order = Window.partitionBy(*q).orderBy(F.desc("upper"), "vec_id", "vec_h")
+    cut = common.written(cut.withColumn("n", F.row_number().over(order)).select(*q, "vec_id", "vec_h", "upper", "n"), "pairs")
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scores = [score_exactly(x, y) for x, y in zip(b.q, b.v, strict=True)]
+            near = [min(max(s, -(2**63)), 2**63 - 1) for s in scores]
+            # Hexadecimal numbers of one length, for scores that a long doesn't tell apart.
+            far = [f"{s + (1 << 4200):x}" if not -(2**63) < s < 2**63 - 1 else "" for s in scores]
+            yield b[["query_id", "query_h", "vec_id"]].assign(size=[float(s) for s in scores], score=near, far=far)
+
+    def read(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(rows.select(c("id").alias("vec_id"), c("h").alias("vec_h"), "v"), ["vec_id", "vec_h"]).join(asked.select(*q, c("v").alias("q")), q)
+        # Rows whose ids and hashes are equal, of other lengths, are not compared.
+        met = met.where("size(q) = size(v)").select(*q, "vec_id", "q", "v")
+        return common.written(met.mapInPandas(exact, "query_id long, query_h long, vec_id long, size double, score long, far string"), "scores")
+
+    done = read(cut.where(c("n") <= k))
+    sure = done.groupBy(*q).agg(F.min("size").alias("least"), F.count("*").alias("m")).where(c("m") >= k)
+    rest = cut.where(c("n") > k).join(sure, q, "left").where("least IS NULL OR upper >= least")
+    done = done.unionAll(read(rest.select(*q, "vec_id", "vec_h")))
+    best = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("score"), F.desc("far"), "vec_id")
+    return done.withColumn("rank", F.row_number().over(best)).where(c("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
