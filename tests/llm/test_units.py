@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from wireloom.llm import bpe, fingerprints, licenses, mixing, secrets, simhash, token_files, topk, toxicity
+from wireloom.llm import bpe, fingerprints, licenses, mixing, secrets, simhash, token_files, topk, toxicity, url_filters
 
 
 def test_changed_branches(spark):
@@ -359,3 +359,22 @@ def test_decoding_by_offsets(spark):
     assert got == {i: t or "" for i, t in texts}
     part = {r.doc_id: bytes(r.body).decode() for r in bpe.decode(tokens, bpe.rank_file(), first=1, last=3).collect()}
     assert part == {i: "".join(bpe.pre_tokens([t or ""])[0][1:3]) for i, t in texts}
+
+
+def test_lists_by_fetch_time_and_clashing_names(spark):
+    stamp = lambda df: df.withColumn("listed_at", F.to_timestamp("listed_at"))
+    entries = stamp(spark.createDataFrame([("a.b.c", "block", "2024-01-02"), ("a.b.c", "none", "2024-01-04"), ("B.C", "block", "2024-01-03"), ("b.c", "allow", "2024-01-03"), ("x.y", "block", None), (None, "block", "2024-01-01")], "domain string, action string, listed_at string"))
+    rows = [("http://a.b.c/", "2024-01-01"), ("http://A.b.c:8/", "2024-01-02"), ("http://a.b.c", "2024-01-03"), ("http://a.b.c", "2024-01-04"), ("http://z.b.c.", "2024-01-02"), ("http://x.y", "2024-02-01"), (None, "2024-02-01"), ("http://a.b.c", None), ("http://" + "h" * 300, "2024-02-01")]
+    caps = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, url string, fetched_at string").withColumn("fetched_at", F.to_timestamp("fetched_at"))
+    names = ["host2", "held", "other", "hit", "host_", "at_", "domain", "spans", "depth", "valid_from", "action", "host"]
+    out = url_filters.evaluate(caps.withColumns({n: F.lit(n) for n in names}), entries)
+    assert sorted(out.columns) == sorted(["i", "url", "fetched_at", *names, "matched_domain", "verdict"])
+    got = {r.i: r for r in out.collect()}
+    assert [(got[i].matched_domain, got[i].action) for i in range(9)] == [(None, None), ("a.b.c", "block"), ("a.b.c", "block"), ("b.c", "block"), (None, None), *[(None, None)] * 4]
+    assert all(r.held == "held" and (r.verdict == "drop") == (r.action == "block") for r in got.values()) and got[8].host is None
+    assert url_filters.evaluate(caps.limit(0), entries).count() == 0 and url_filters.evaluate(caps, entries.limit(0)).where("verdict = 'keep'").count() == 9
+
+
+def test_pages_meet_every_kind_of_entry(spark):
+    got = url_filters.op10_url_filters(spark, "/root/testdata/sf0.01").groupBy("action").count().collect()
+    assert {r.action for r in got} == {None, "allow", "block"} and min(r["count"] for r in got) >= 10

@@ -38,7 +38,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a table written in the shared folder, whose size is known to the plans that read it."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``written`` that no plan reads any more."""
+    remove(df.sparkSession, df.written_at)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -178,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
     join is estimated at the product of its sides, and the estimates' digits would multiply from round to round.
     """
     both = common.cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a")).distinct())
-    label = common.written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), "roots")
+    held = label = common.written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), "roots")
     while True:
         heard = both.join(label.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("heard"))
         low = F.least("root", "heard")
@@ -187,7 +187,9 @@ def components(edges: DataFrame) -> DataFrame:
         best = common.written(best, "roots")
         jump = best.select(F.col("node").alias("root"), F.col("root").alias("far"))
         after = common.written(best.join(jump, "root").select("node", "was", F.col("far").alias("root")), "roots")
-        label = after.select("node", "root")
+        common.discard(best)
+        common.discard(held)
+        held, label = after, after.select("node", "root")
         if after.where("root != was").isEmpty():
             return label
 
@@ -200,7 +202,8 @@ def classes(df: DataFrame, words: int = WORDS, bits: int = BITS, key: str = "doc
     # A component's id is its smallest row id; nodes without links are their own.
     member = common.cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
     least = member.groupBy("root").agg(F.min("low").alias("component"))
-    of_fp = member.join(least, "root").select("fp", "component")
+    # Written, so that adaptive execution splits the join below where many rows share a fingerprint.
+    of_fp = common.written(member.join(least, "root").select("fp", "component"), "components")
     return rows.join(of_fp, "fp").select("id", "fp", "component")
 
 
