@@ -378,3 +378,55 @@ def test_lists_by_fetch_time_and_clashing_names(spark):
 def test_pages_meet_every_kind_of_entry(spark):
     got = url_filters.op10_url_filters(spark, "/root/testdata/sf0.01").groupBy("action").count().collect()
     assert {r.action for r in got} == {None, "allow", "block"} and min(r["count"] for r in got) >= 10
+
+
+def python_tree(text):
+    """Sections of paragraphs of (node, leaves), by the definition."""
+    import hashlib
+    import re
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = []
+    for part in re.split(fingerprints.SECTION, text):
+        ps = [(sha("p:" + p), [x for x in re.findall(fingerprints.CLAUSE, p)]) for p in re.split(fingerprints.PARAGRAPH, part)]
+        sections.append((sha("s:" + "".join(n for n, _ in ps)), ps))
+    return sha("d:" + "".join(n for n, _ in sections)), sections
+
+
+def python_compare(a, b):
+    (ra, sa), (rb, sb) = python_tree(a), python_tree(b)
+    la, lb = ({x for _, ps in s for _, leaf in ps for x in leaf} for s in (sa, sb))
+    share = 2 * sum(map(len, la & lb)) / max(sum(map(len, la)) + sum(map(len, lb)), 1)
+    at = lambda xs, i: xs[i] if i < len(xs) else None
+    changed = []
+    for i in range(max(len(sa), len(sb))):
+        x, y = at(sa, i), at(sb, i)
+        if (x and x[0]) != (y and y[0]):
+            px, py = (x[1] if x else []), (y[1] if y else [])
+            changed += [(i, j) for j in range(max(len(px), len(py))) if (at(px, j) or [None])[0] != (at(py, j) or [None])[0]]
+    first = None
+    if changed:
+        i, j = changed[0]
+        x, y = (at(at(s, i)[1], j) if at(s, i) and at(at(s, i)[1], j) else (None, []) for s in (sa, sb))
+        leaf = next((k for k in range(max(len(x[1]), len(y[1]))) if at(x[1], k) != at(y[1], k)), 0)
+        first = f"{i}.{j}.{leaf}"
+    return ra, rb, 1.0 if ra == rb else min(share, 0.999999), first, len(changed)
+
+
+def test_fingerprints_equal_trees_by_the_definition(spark, sf_dir):
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()))
+    got = {r.doc_id: r for r in fingerprints.op1_document_fingerprints(spark, sf_dir).collect()}
+    for (i, t), (_, n) in zip(docs, docs[1:] + docs[:1]):
+        k = len(t) // 2
+        edited = t[: len(t) - k] + n[:k]
+        ra, rb, near, first, changed = python_compare(t, edited)
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint, r.first_change, r.changed_paragraphs) == (ra, rb, first, changed)
+        assert abs(r.near_edited - near) < 1e-9 and abs(r.near_next - python_compare(t, n)[2]) < 1e-9
+
+
+def test_fingerprint_columns_that_clash(spark):
+    df = spark.createDataFrame([("a\n\nb", 1), (None, 2)], "text string, tree int").withColumns({"fp_root": F.lit("old"), "id": F.lit(7)})
+    out = fingerprints.fingerprint(df)
+    assert out.columns == ["text", "tree", "id", "fp_root", "fp_sections"]
+    assert [r.fp_root for r in out.orderBy("tree").collect()] == [python_tree("a\n\nb")[0], python_tree("")[0]]
