@@ -430,3 +430,61 @@ def test_fingerprint_columns_that_clash(spark):
     out = fingerprints.fingerprint(df)
     assert out.columns == ["text", "tree", "id", "fp_root", "fp_sections"]
     assert [r.fp_root for r in out.orderBy("tree").collect()] == [python_tree("a\n\nb")[0], python_tree("")[0]]
+
+
+LABELLED = "doc_id long, text string"
+
+
+def toxic_tables(spark, n=400):
+    """Texts, labels, and whether each is toxic: by one of three words, in a third of the texts."""
+    rng = random.Random(13)
+    plain, bad = [f"w{i}" for i in range(200)], ["vile", "wretched", "filthy"]
+    rows = []
+    for i in range(n):
+        body = rng.choices(plain, k=30)
+        if i % 3 == 0:
+            body[rng.randrange(30)] = rng.choice(bad)
+        rows.append((i, " ".join(body)))
+    docs = spark.createDataFrame(rows, LABELLED)
+    labels = spark.createDataFrame([(i, 0 if i % 5 == 0 else 2, int(i % 3 == 0)) for i in range(n)], "doc_id long, quality int, toxic int")
+    return rows, docs, labels
+
+
+def test_distributed_fit_equals_fit_in_memory(spark):
+    rows, docs, labels = toxic_tables(spark)
+    chain = toxicity.fit(docs.repartition(7), labels)
+    y = np.array([[i % 5 == 0, i % 3 == 0, i % 15 == 0] for i, _ in rows])
+    want = toxicity.fit_rows([toxicity.words(t) for _, t in rows], y, chain.names)
+    assert chain.vocabulary == want.vocabulary and {b"vile", b"wretched", b"filthy"} <= set(chain.vocabulary)
+    assert chain.thresholds == want.thresholds
+    assert all(np.allclose(a, b) for a, b in zip(chain.weights, want.weights, strict=True))
+    # Scores row by row, and accuracy on rows that the chain has not seen.
+    fresh, docs, _ = toxic_tables(spark, 900)
+    scored = {r.doc_id: r.toxicity for r in toxicity.classify(docs, chain).collect()}
+    wrong = 0
+    for i, t in fresh:
+        p = []
+        present = toxicity.features(toxicity.words(t))
+        x = [float(w in present) for w in chain.vocabulary]
+        for w in chain.weights:
+            z = sum(a * b for a, b in zip([*x, *p], w, strict=False)) + w[-1] if len(w) else None
+            p.append(1 / (1 + np.exp(-z)) if z is not None else 0.0)
+        assert np.allclose([scored[i][n] for n in chain.names], p)
+        wrong += (p[1] > chain.thresholds[1]) != (i % 3 == 0)
+    assert wrong <= 0.01 * len(fresh)
+
+
+def test_toxicity_of_awkward_rows(spark):
+    rows, docs, labels = toxic_tables(spark)
+    more = [(None, None), (None, "vile"), (7, None), (7, "other text " * 20_000), (0, rows[0][1]), (1000, "")]
+    docs = docs.union(spark.createDataFrame(more, LABELLED)).withColumns({"toxicity": F.lit("old"), "words": F.lit(1), "id": F.lit(2), "y0": F.lit(3)})
+    labels = labels.union(spark.createDataFrame([(None, 1, 1), (7, None, None), (7, 0, 1), (5000, 1, 1)], labels.schema))
+    chain = toxicity.fit(docs.repartition(5), labels.repartition(3))
+    again = toxicity.fit(docs.repartition(2), labels.repartition(1))
+    assert chain.vocabulary == again.vocabulary and all(np.array_equal(a, b) for a, b in zip(chain.weights, again.weights))
+    out = toxicity.classify(docs, chain)
+    assert out.columns == docs.columns and out.count() == len(rows) + len(more)
+    got = [r.toxicity.toxic for r in out.where("text IS NULL OR text = ''").collect()]
+    assert len(set(got)) == 1 and got[0] <= chain.thresholds[1]
+    small = toxicity.fit(docs, labels, limit=10)
+    assert len(small.weights) == 3 and toxicity.fit(docs.limit(0), labels).vocabulary == ()

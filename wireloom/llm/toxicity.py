@@ -5,14 +5,17 @@ Categories are predicted one after the other by logistic regressions over the pr
 probabilities of the categories before it. In training those come from models that did not see the row (folds),
 so a later model learns from predictions as uncertain as those it will meet.
 
-The chain is fitted on at most ``MAX_LABELLED`` labelled rows, taken in the order of a hash of their ids; from each
-the executors send only its distinct words. Rows whose word sets are copies of an earlier row's (by minhash bands) are left out, lest a
-group of copies make its words look telling. The vocabulary is at most ``FEATURES`` words that rows of some category
-hold clearly (``LEAST_GAIN`` standard deviations) more often than chance. Scoring covers every row and whole texts, with a model of bounded size.
+The chain is fitted on at most ``MAX_LABELLED`` labelled rows, taken in the order of a hash of their ids; of an id that comes
+more than once the row of the smallest labels and text digest counts. Their words are written to the shared folder and
+stay there. The driver gets minhashes of each row, by which rows whose word sets are copies of an earlier row's are
+left out, lest a group of copies make its words look telling; then the vocabulary, counted by an aggregate: at most
+``FEATURES`` words that rows of some category hold clearly (``LEAST_GAIN`` standard deviations) more often than chance; then one bit a
+row and word. All of these are bounded, however long the texts are. Scoring covers every row and whole texts, with a model of bounded size.
 
 Nulls and empty texts have no words: their probability is what the intercepts give. Ties in a word's score go by
-the word, repeated rows get equal scores, extra columns stay. Without labelled rows, or for a category that no row has,
-the probability is 0. An empty table gives an empty result.
+the word, repeated rows get equal scores, extra columns stay, but for one of the name that ``classify`` adds, which is
+replaced. Without labelled rows, or for a category that no row has, the probability is 0. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from . import common
 
 #: Labelled rows that the chain is fitted on at most, and words in its vocabulary.
 MAX_LABELLED, FEATURES = 5000, 512
-FOLDS, ROUNDS, PENALTY, LEAST_GAIN = 3, 30, 0.05, 4.0
+FOLDS, ROUNDS, PENALTY, LEAST_GAIN, LEAST_ROWS = 3, 30, 0.05, 4.0, 3
 PREFIXES = (4, 5, 6)
 #: Decision thresholds are chosen among these, by F1 of the out-of-fold predictions where their precision is this at least.
 PRECISION = 0.95
@@ -105,24 +108,37 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def distinct_rows(rows: list[set[bytes]]) -> list[int]:
-    """Positions of rows that share no band of four minhashes of their words with an earlier row."""
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(found: set[bytes]) -> np.ndarray:
+    """Sixteen minhashes of a row's words."""
     import xxhash
 
-    rng = np.random.default_rng(7)
-    odd = rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in found), np.uint64, len(found)) if found else np.zeros(1, np.uint64)
+    low = np.full(16, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 1 << 14):  # bounded, however long the text is
+        low = np.minimum(low, (h[i : i + (1 << 14), None] * _ODD).min(0))
+    return low
+
+
+def distinct_rows(signatures: list[np.ndarray]) -> list[int]:
+    """Positions of rows that share no band of four minhashes of their words with an earlier row."""
     seen: set[tuple] = set()
     kept = []
-    for i, r in enumerate(rows):
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in r), np.uint64, len(r)) if r else np.zeros(1, np.uint64)
-        low = (h[:, None] * odd).min(0).reshape(4, 4)
-        bands = {(b, *low[b].tolist()) for b in range(4)}
+    for i, low in enumerate(signatures):
+        bands = {(b, *x) for b, x in enumerate(low.reshape(4, 4).tolist())}
         if not bands & seen:
             kept.append(i)
         seen |= bands
     return kept
 
 
+def gain(k: float, hits: float, total: float, n: int) -> float:
+    """By how many standard deviations a word of k rows stands in more rows of a category than chance has it."""
+    return (hits - k * total / n) / math.sqrt(k * total / n + 1)
+
+
 def select_words(rows: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     """Words of at least three rows with the largest information about any category."""
     n, df = len(rows), Counter()
@@ -134,13 +150,30 @@ def select_words(rows: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     score = {}
     totals = y.sum(0)
     for w, k in df.items():
-        if k >= 3:
-            gains = [(by[c][w] - k * totals[c] / n) / math.sqrt(k * totals[c] / n + 1) for c in range(y.shape[1])]
-            if max(gains) >= LEAST_GAIN:
-                score[w] = max(gains)
+        if k >= LEAST_ROWS:
+            best = max(gain(k, by[c][w], totals[c], n) for c in range(y.shape[1]))
+            if best >= LEAST_GAIN:
+                score[w] = best
     return sorted(score, key=lambda w: (-score[w], w))[:FEATURES]
 
 
+def _select_words(rows: DataFrame, y: np.ndarray) -> list[bytes]:
+    """``select_words`` of rows(y0.., words), by an aggregate."""
+    n, totals = len(y), y.sum(0).tolist()
+    names = [f"y{i}" for i in range(y.shape[1])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[names].assign(word=[sorted(features(set(map(bytes, w)))) for w in b["words"]])
+
+    each = rows.select(*names, "words").mapInPandas(run, ", ".join([*[f"{x} int" for x in names], "word array<binary>"]))
+    counted = each.select(*names, F.explode("word").alias("word")).groupBy("word").agg(F.count("*").alias("k"), *[F.sum(x).alias(x) for x in names])
+    expected = [F.col("k") * F.lit(float(t)) / F.lit(n) for t in totals]
+    best = F.greatest(F.lit(float("-inf")), *[(F.col(x) - e) / F.sqrt(e + 1) for x, e in zip(names, expected, strict=True)])
+    told = counted.where(F.col("k") >= LEAST_ROWS).select("word", best.alias("best")).where(F.col("best") >= LEAST_GAIN)
+    return [bytes(r.word) for r in told.orderBy(F.desc("best"), "word").limit(FEATURES).collect()]
+
+
 def threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The middle of the thresholds of best F1 among those with PRECISION; the largest where there is none."""
     hits = [(t, y[p > t].sum(), (p > t).sum()) for t in THRESHOLDS]
@@ -150,8 +183,8 @@ def threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_rows(rows: list[set[bytes]], y: np.ndarray, names: tuple[str, ...]) -> Chain:
-    """y: a row for each text, a column of 0 and 1 for each category."""
-    kept = distinct_rows(rows)
+    """Fit on rows in memory. y: a row for each text, a column of 0 and 1 for each category."""
+    kept = distinct_rows([signature(r) for r in rows])
     y = y.astype(float).reshape(len(rows), len(names))[kept]
     rows = [features(rows[i]) for i in kept]
     vocabulary = select_words(rows, y) if len(rows) else []
@@ -159,12 +192,17 @@ def fit_rows(rows: list[set[bytes]], y: np.ndarray, names: tuple[str, ...]) -> C
     x = np.zeros((len(rows), len(vocabulary)))
     for i, r in enumerate(rows):
         x[i, [at[w] for w in at.keys() & r]] = 1
-    fold = np.arange(len(rows)) % FOLDS
+    return fit_matrix(x, y, vocabulary, names)
+
+
+def fit_matrix(x: np.ndarray, y: np.ndarray, vocabulary: list[bytes], names: tuple[str, ...]) -> Chain:
+    """The chain of a presence matrix: a row for each text, a column for each word."""
+    fold = np.arange(len(x)) % FOLDS
     unseen = np.zeros_like(y)
     weights = []
     for c in range(len(names)):
         seen = np.hstack([x, unseen[:, :c]])
-        if not len(rows) or not y[:, c].any():
+        if not len(x) or not y[:, c].any():
             weights.append(np.zeros(0))
             continue
         weights.append(logistic(seen, y[:, c]))
@@ -176,26 +214,52 @@ def fit_rows(rows: list[set[bytes]], y: np.ndarray, names: tuple[str, ...]) -> C
     return Chain(tuple(names), tuple(vocabulary), tuple(weights), tuple(threshold(unseen[:, c], y[:, c]) for c in range(len(names))))
 
 
-def fit(documents: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, limit: int = MAX_LABELLED) -> Chain:
-    """Fit on at most ``limit`` labelled documents."""
-    targets = [F.coalesce(F.expr(cond).cast("int"), F.lit(0)).alias(f"y{i}") for i, (_, cond) in enumerate(categories)]
-    chosen = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), *targets)
-    order = [F.xxhash64("id"), "id", *[f"y{i}" for i in range(len(categories))]]
+def labelled(documents: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, limit: int = MAX_LABELLED) -> DataFrame:
+    """(id, y0.., signature, words) of at most ``limit`` labelled documents."""
+    names = [f"y{i}" for i in range(len(categories))]
+    targets = [F.coalesce(F.expr(cond).cast("int"), F.lit(0)).alias(n) for n, (_, cond) in zip(names, categories, strict=True)]
+    chosen = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), *targets)
     # Of bounded size: the limit is small and documented, so it may be sent to every task.
-    chosen = chosen.orderBy(*order).limit(limit)
-    pairs = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("body")).join(F.broadcast(chosen), "id")
+    chosen = chosen.orderBy(F.xxhash64("id"), "id", *names).limit(limit)
+    pairs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).join(F.broadcast(chosen), "id")
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.drop(columns="body").assign(words=[b" ".join(sorted(words(t))) for t in b.body])
+            found = [words(t) for t in b.body]
+            yield b[["id", *names]].assign(signature=[signature(f).view(np.int64) for f in found], words=[sorted(f) for f in found])
 
     common.bound_arrow_batches(documents.sparkSession)
-    schema = ", ".join(["id long", *[f"y{i} int" for i in range(len(categories))], "words binary"])
-    # A repeated id gives no more rows than the limit.
-    got = pairs.mapInPandas(lambda it: distinct(b[["id", *[f"y{i}" for i in range(len(categories))], "body"]] for b in it), schema)
-    rows = got.dropDuplicates(["id"]).toPandas().sort_values("id", kind="stable")
-    y = rows[[f"y{i}" for i in range(len(categories))]].to_numpy()
-    return fit_rows([set(bytes(w).split()) for w in rows["words"]], y, tuple(n for n, _ in categories))
+    got = pairs.mapInPandas(distinct, ", ".join(["id long", *[f"{n} int" for n in names], "signature array<long>", "words array<binary>"]))
+    one = got.groupBy("id").agg(F.min(F.struct(*names, "signature", "words")).alias("x")).select("id", "x.*")
+    return common.written(one, "labelled")
+
+
+def fit(documents: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, limit: int = MAX_LABELLED) -> Chain:
+    """Fit on at most ``limit`` labelled documents."""
+    rows = labelled(documents, labels, categories, limit)
+    names, columns = tuple(n for n, _ in categories), [f"y{i}" for i in range(len(categories))]
+    seen = rows.select("id", *columns, "signature").toPandas().sort_values("id", kind="stable")
+    seen = seen.iloc[distinct_rows([np.asarray(x, np.int64).view(np.uint64) for x in seen.signature])]
+    y = seen[columns].to_numpy(float)
+    if not len(seen):
+        return fit_rows([], np.zeros((0, len(names))), names)
+    ids = rows.sparkSession.createDataFrame(seen[["id"]], "id long")
+    kept = rows.join(F.broadcast(ids), "id")
+    vocabulary = _select_words(kept, y)
+    at = {w: i for i, w in enumerate(vocabulary)}
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.zeros((len(b), len(at)), bool)
+            for i, w in enumerate(b["words"]):
+                x[i, [at[f] for f in at.keys() & features(set(map(bytes, w)))]] = True
+            yield pd.DataFrame({"id": b["id"], "bits": [r.tobytes() for r in np.packbits(x, axis=1)]})
+
+    got = kept.select("id", "words").mapInPandas(bits, "id long, bits binary").toPandas().sort_values("id", kind="stable")
+    packed = np.frombuffer(b"".join(map(bytes, got.bits)), np.uint8).reshape(len(got), -1)
+    chain = fit_matrix(np.unpackbits(packed, axis=1, count=len(at)).astype(float) if at else np.zeros((len(got), 0)), y, vocabulary, names)
+    common.discard(rows)
+    return chain
 
 
 def score(text: Column, chain: Chain) -> Column:
