@@ -28,11 +28,11 @@ def test_stages(spark, sf_dir, tmp_path):
     kept = [r for r, q in zip(all_rows, p, strict=True) if q <= chain.thresholds[1]]
     assert rows(seen[names[0]]) == sorted(map(tuple, kept), key=repr) and len(kept) > 0.8 * len(all_rows)
 
-    fps = [simhash.simhash(r.text, 5) for r in kept]
+    sets = [set(simhash.shingle_hashes(r.text, 5)) for r in kept]
     group = list(range(len(kept)))
     for i in range(len(kept)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     least = defaultdict(lambda: None)
