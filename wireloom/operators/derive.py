@@ -59,16 +59,24 @@ def max_arity(graphs: Graphs) -> DataFrame:
     return edge_facts(graphs).groupBy("graph_id").agg(F.max(F.greatest("n_src", "n_tgt")).alias("max_arity"))
 
 
-def running_offset(count: Column, order: str) -> Column:
-    """Exclusive prefix sum inside a graph."""
-    frame = Window.partitionBy("graph_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(count).over(frame), F.lit(0))
+#: Prefix sums run inside ranges of so many ids, and over the sums of the ranges.
+RANGE = 1 << 16
+
+
+def _prefix(name: str, by: list[str], order: str) -> Column:
+    """Exclusive prefix sum."""
+    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(name).over(frame), F.lit(0))
 
 
 def csr_offsets(graphs: Graphs) -> DataFrame:
     """(graph_id, node_id, n_next, n_prev, next_offset, prev_offset)."""
-    facts = node_facts(graphs)
-    return facts.select(*NODE, "n_next", "n_prev", running_offset(F.col("n_next"), "node_id").alias("next_offset"), running_offset(F.col("n_prev"), "node_id").alias("prev_offset"))
+    part = F.floor(F.col("node_id") / RANGE).alias("part")
+    facts = node_facts(graphs).select(*NODE, "n_next", "n_prev", part)
+    sums = facts.groupBy("graph_id", "part").agg(F.sum("n_next").alias("a"), F.sum("n_prev").alias("b"))
+    before = sums.select("graph_id", "part", _prefix("a", ["graph_id"], "part").alias("a"), _prefix("b", ["graph_id"], "part").alias("b"))
+    offset = lambda base, name: F.col(base) + _prefix(name, ["graph_id", "part"], "node_id")
+    return facts.join(before, ["graph_id", "part"]).select(*NODE, "n_next", "n_prev", offset("a", "n_next").alias("next_offset"), offset("b", "n_prev").alias("prev_offset"))
 
 
 def csr(graphs: Graphs) -> DataFrame:
@@ -94,5 +102,15 @@ def label_dictionary(elements: DataFrame, key: str) -> DataFrame:
 
 def sorted_edges(graphs: Graphs) -> DataFrame:
     """(graph_id, edge_id, position): place of each edge by (sources, targets, total, label), ties by edge_id."""
-    order = Window.partitionBy("graph_id").orderBy("n_src", "n_tgt", "n_tot", "label", "edge_id")
-    return edge_facts(graphs).select(*EDGE, (F.row_number().over(order) - 1).alias("position"))
+    by = ["n_src", "n_tgt", "n_tot", "label"]
+    part = F.floor(F.col("edge_id") / RANGE).alias("part")
+    facts = edge_facts(graphs).select(*EDGE, *by, part)
+    # Groups of a signature and a range of ids are counted first: a graph's window meets these, not its edges.
+    counts = facts.groupBy("graph_id", *by, "part").agg(F.count("*").alias("n"))
+    frame = Window.partitionBy("graph_id").orderBy(*by, "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("graph_id", *[F.col(c).alias(f"s_{c}") for c in [*by, "part"]], F.coalesce(F.sum("n").over(frame), F.lit(0)).alias("before")).withColumnRenamed("graph_id", "g")
+    same = F.col("graph_id") == F.col("g")
+    for c in [*by, "part"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    inside = F.row_number().over(Window.partitionBy("graph_id", *by, "part").orderBy("edge_id"))
+    return facts.join(first, same).select(*EDGE, (F.col("before") + inside - 1).alias("position"))

@@ -9,6 +9,7 @@ from ..functions import labels
 from ..model import Graphs, from_rows
 from ..operators import components, derive, match, refine, stats, validate
 from ..sources import dot, families, generate, json_graphs
+from .lineage import cut, shared_path
 
 #: Graphs with faults, added where a check needs something to find.
 FAULTY = {
@@ -48,8 +49,8 @@ def _chains(spark: SparkSession, d: str) -> Graphs:
     return families.event_chains(spark, d)
 
 
-def _boxes(spark: SparkSession, d: str) -> Graphs:
-    return families.order_boxes(spark, d)
+def _boxes(spark: SparkSession, d: str, keep: bool = False) -> Graphs:
+    return families.order_boxes(spark, d, keep)
 
 
 def _with_faults(spark: SparkSession, g: Graphs) -> Graphs:
@@ -166,7 +167,7 @@ def node_signature_histogram(spark, d):
 
 
 def histogram_diff(spark, d):
-    both, pairs = _copies(_boxes(spark, d), change=generate.relabel_edge)
+    both, pairs = _copies(_boxes(spark, d, True), change=generate.relabel_edge)
     return _long(stats.difference(stats.edge_signatures(both), pairs, stats.EDGE_SIGNATURE))
 
 
@@ -181,7 +182,7 @@ def basic_tests(spark, d):
 
 
 def edge_neighbourhood_classes(spark, d):
-    found = stats.edge_neighbourhoods(_boxes(spark, d))
+    found = stats.edge_neighbourhoods(_boxes(spark, d, True))
     sizes = found.groupBy("source_hash", "target_hash").agg(F.count("*").alias("class_size"))
     return sizes.groupBy("class_size").agg(F.count("*").alias("n_classes"))
 
@@ -227,20 +228,20 @@ def disconnected_match(spark, d):
 
 
 def initial_colouring(spark, d):
-    nodes, edges = refine.initial_ranks(_boxes(spark, d))
+    nodes, edges = refine.initial_ranks(_boxes(spark, d, True))
     part = lambda df, what, key: df.select("graph_id", F.lit(what).alias("element"), F.col(key).alias("id"), "colour")
     return part(nodes, "node", "node_id").unionAll(part(edges, "edge", "edge_id"))
 
 
 def refine_round(spark, d):
-    g = _boxes(spark, d)
-    nodes, edges = refine.rank_round(g, *refine.initial_ranks(g))
+    g = _boxes(spark, d, True).map(cut)
+    nodes, edges = refine.rank_round(g, *map(cut, refine.initial_ranks(g)))
     part = lambda df, what, key: df.select("graph_id", F.lit(what).alias("element"), F.col(key).alias("id"), "colour")
     return part(nodes, "node", "node_id").unionAll(part(edges, "edge", "edge_id"))
 
 
 def canonical_colouring_unique(spark, d):
-    nodes, edges = refine.canonical_colouring(_boxes(spark, d))
+    nodes, edges = refine.canonical_colouring(_boxes(spark, d, True))
     count = lambda df, what: df.groupBy("graph_id").agg(F.count("*").alias(f"n_{what}"), F.countDistinct("colour").alias(f"n_{what}_colours"))
     return count(nodes, "nodes").join(count(edges, "edges"), "graph_id")
 
@@ -251,10 +252,64 @@ def permute_roundtrip(spark, d):
 
 
 def nonmonogamous_match(spark, d):
-    both, pairs = _copies(_boxes(spark, d), seed=42)
+    both, pairs = _copies(_boxes(spark, d, True), seed=42)
     return match.match(both, pairs).verdict.select("pair_id", "isomorphic")
 
 
+def _runs(spark: SparkSession, d: str) -> Graphs:
+    """Each user's chains of three days as one graph, whose interface has the chains' ends in the order of the days."""
+    return generate.side_by_side(_chains(spark, d), F.expr("(graph_id div 100000) * 100000 + (graph_id % 100000) div 3"))
+
+
+def interface_match(spark, d):
+    g = _runs(spark, d).map(cut)
+    return match.match(g, _neighbours(g)).verdict.select("pair_id", "isomorphic")
+
+
+def edge_neighbourhood_diff(spark, d):
+    """The edges' neighbourhoods that each order and its next don't share, by number."""
+    g = _boxes(spark, d, True)
+    found = stats.edge_neighbourhoods(g)
+    counts = stats.histogram(found, ["source_hash", "target_hash"])
+    ids = g.nodes.select("graph_id").distinct()
+    pairs = ids.select(F.col("graph_id").alias("pair_id"), F.col("graph_id").alias("g1"), (F.col("graph_id") + 1).alias("g2"))
+    pairs = pairs.join(ids.withColumnRenamed("graph_id", "g2"), "g2", "left_semi")
+    diff = stats.difference(counts, pairs, ["source_hash", "target_hash"])
+    more = lambda a, b: F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0)))
+    return _long(diff.groupBy("pair_id").agg(more("n1", "n2").alias("only_first"), more("n2", "n1").alias("only_second")))
+
+
+def port_sensitivity(spark, d):
+    """Each order's graph and a copy whose source ports are exchanged: equal only where ports don't count."""
+    g = _boxes(spark, d, True)
+    swapped = g.incidence.withColumn("port", F.when(F.col("role") == "S", 1 - F.col("port")).otherwise(F.col("port")))
+    both = g.union(Graphs(g.nodes, g.edges, swapped, g.interface).renumber(-F.col("graph_id") - 1)).map(cut)
+    source = F.when(F.col("graph_id") < 0, -F.col("graph_id") - 1).otherwise(F.col("graph_id"))
+    same = lambda name, **o: refine.certificates(both, **o).groupBy(source.alias("graph_id")).agg((F.countDistinct("certificate") == 1).alias(name))
+    return same("equal_with_ports").join(same("equal_without_ports", ports=False), "graph_id")
+
+
+def colouring_steps(spark, d):
+    return refine.rank_history(_boxes(spark, d, True), 1)
+
+
+def dot_styles(spark, d):
+    """Diagrams with highlights and colours, drawn top down."""
+    g = _chains(spark, d).map(cut)
+    colour = lambda t, key: t.where(F.col(key) % 2 == 0).select("graph_id", key, (F.col(key) % 5).alias("colour"))
+    return dot.to_dot(g, "TB", [0], [1], colour(g.nodes, "node_id"), colour(g.edges, "edge_id"))
+
+
+def json_files(spark, d):
+    """Graph files written, and read again with a file that isn't JSON among them."""
+    path = shared_path(spark, "graph-files")
+    json_graphs.write_json(_boxes(spark, d), f"{path}/good")
+    spark.createDataFrame([("not a document",)], "value string").write.text(f"{path}/bad")
+    documents = cut(json_graphs.read_documents(spark, [f"{path}/good", f"{path}/bad"], multi_line=False))
+    sizes = stats.summary(json_graphs.to_tables(documents.where("_corrupt_record IS NULL")))
+    return _long(documents.select("graph_id", F.coalesce("graph_name", F.lit("unreadable")).alias("graph_name")).join(sizes, "graph_id", "left").drop("graph_id"))
+
+
 def regular_match(spark, d):
     g = from_rows(spark, _regular())
     pairs = g.nodes.select((F.expr("graph_id div 2")).alias("pair_id")).distinct().select("pair_id", (F.col("pair_id") * 2).alias("g1"), (F.col("pair_id") * 2 + 1).alias("g2"))
@@ -293,6 +348,6 @@ QUERIES = {
         histogram_diff, size_prefilter, basic_tests, edge_neighbourhood_classes, mc_match, mc_node_mapping, mc_edge_mapping,
         match_negative, connected_components, component_sizes, disconnected_match, initial_colouring, refine_round,
         canonical_colouring_unique, permute_roundtrip, nonmonogamous_match, regular_match, random_graph, dot_export, json_export, json_roundtrip,
-        graph_listing,
+        graph_listing, interface_match, edge_neighbourhood_diff, port_sensitivity, colouring_steps, dot_styles, json_files,
     )
 }

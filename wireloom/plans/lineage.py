@@ -6,22 +6,31 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table written in the folder of spark.checkpoint.dir; a temporary folder only where that is unset and all runs in one JVM.
-
-    A written table's size is known. A checkpoint keeps the estimate of the plan that it cuts, and as a join is
-    estimated at the product of its sides, the digits of the estimates double from round to round.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; a temporary folder serves only where that is unset and all runs in one JVM."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="wireloom-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table written in the folder of spark.checkpoint.dir.
+
+    A written table's size is known. A checkpoint keeps the estimate of the plan that it cuts, and as a join is
+    estimated at the product of its sides, the digits of the estimates double from round to round. What is cut already stays.
+    """
+    if getattr(df, "is_cut", False):
+        return df
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.is_cut = True
+    return out

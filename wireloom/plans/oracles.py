@@ -171,6 +171,26 @@ JOIN (SELECT component, count(DISTINCT edge_id) AS m FROM m JOIN comp ON node_id
     "disconnected_match": _with(CHAINS) + """, words AS (SELECT graph_id, string_agg(label, '|' ORDER BY edge_id) AS word FROM edges GROUP BY graph_id),
 months AS (SELECT (graph_id // 100000) * 100000 + (graph_id % 100000) // 30 AS month, string_agg(word, ' ' ORDER BY word) AS words FROM words GROUP BY 1)
 SELECT month AS pair_id, words = lead(words) OVER w AS isomorphic FROM months WINDOW w AS (PARTITION BY month // 100000 ORDER BY month) QUALIFY lead(month) OVER w IS NOT NULL""",
+    "interface_match": _with(CHAINS) + """, words AS (SELECT graph_id, string_agg(label, '|' ORDER BY edge_id) AS word FROM edges GROUP BY graph_id),
+runs AS (SELECT (graph_id // 100000) * 100000 + (graph_id % 100000) // 3 AS run, string_agg(word, ' ' ORDER BY graph_id) AS words FROM words GROUP BY 1)
+SELECT run AS pair_id, words = lead(words) OVER w AS isomorphic FROM runs WINDOW w AS (PARTITION BY run // 100000 ORDER BY run) QUALIFY lead(run) OVER w IS NOT NULL""",
+    "edge_neighbourhood_diff": _with(BOXES, FACTS) + """, hood AS (SELECT i.graph_id, i.edge_id, list(concat_ws('|', label, io_tag, n_next, n_prev) ORDER BY concat_ws('|', label, io_tag, n_next, n_prev)) FILTER (role = 'S') AS s,
+    list(concat_ws('|', label, io_tag, n_next, n_prev) ORDER BY concat_ws('|', label, io_tag, n_next, n_prev)) FILTER (role = 'T') AS t
+  FROM inc i JOIN nf ON nf.graph_id = i.graph_id AND nf.node_id = i.node_id GROUP BY i.graph_id, i.edge_id),
+c AS (SELECT graph_id, s, t, count(*) AS n FROM hood GROUP BY graph_id, s, t),
+pr AS (SELECT DISTINCT graph_id AS pair_id FROM nodes WHERE graph_id + 1 IN (SELECT graph_id FROM nodes)),
+d AS (SELECT pair_id, s, t, sum(n1) AS n1, sum(n2) AS n2 FROM (SELECT pair_id, s, t, n AS n1, 0 AS n2 FROM pr JOIN c ON c.graph_id = pair_id UNION ALL SELECT pair_id, s, t, 0, n FROM pr JOIN c ON c.graph_id = pair_id + 1) GROUP BY pair_id, s, t)
+SELECT pair_id, CAST(sum(greatest(n1 - n2, 0)) AS BIGINT) AS only_first, CAST(sum(greatest(n2 - n1, 0)) AS BIGINT) AS only_second FROM d WHERE n1 <> n2 GROUP BY pair_id""",
+    "port_sensitivity": _with(BOXES) + "SELECT DISTINCT graph_id, false AS equal_with_ports, true AS equal_without_ports FROM li",
+    "colouring_steps": _with(BOXES, _COLOURS, _ROUND) + """SELECT graph_id, CAST(0 AS BIGINT) AS iteration, 'node' AS element, node_id AS id, colour FROM n0 UNION ALL SELECT graph_id, 0, 'edge', edge_id, colour FROM e0
+UNION ALL SELECT graph_id, 1, 'node', node_id, colour FROM n1 UNION ALL SELECT graph_id, 1, 'edge', edge_id, colour FROM e1""",
+    "json_files": _with(BOXES) + "SELECT 'graph_' || graph_id AS graph_name, * EXCLUDE (graph_id) FROM (" + _SUMMARY + ") UNION ALL SELECT 'unreadable', NULL, NULL, NULL, NULL, NULL, NULL",
+    "dot_styles": _with(CHAINS, _LISTS) + r""", lines AS (
+  SELECT graph_id, 0 AS block, node_id AS a, 0 AS b, '  n' || node_id || ' [shape=circle, label="' || label || ';' || node_id || '", color="' || CASE WHEN node_id = 0 THEN 'red' WHEN node_id % 2 = 0 THEN '/set19/' || (node_id % 5 + 1) ELSE 'black' END || '"];' AS line FROM nodes
+  UNION ALL SELECT graph_id, 1, edge_id, 0, '  e' || edge_id || ' [shape=box, label="' || label || ',' || edge_id || '\n\n' || signature || '", color="' || CASE WHEN edge_id = 1 THEN 'red' WHEN edge_id % 2 = 0 THEN '/paired12/' || (edge_id % 5 + 1) ELSE 'black' END || '"];' FROM sn
+  UNION ALL SELECT graph_id, 2, edge_id, CASE role WHEN 'S' THEN 0 ELSE 1 END, CASE role WHEN 'S' THEN '  n' || node_id || ' -> e' || edge_id ELSE '  e' || edge_id || ' -> n' || node_id END || ' [label="' || port || '"];' FROM inc
+  UNION ALL SELECT graph_id, 3, CASE kind WHEN 'I' THEN 0 ELSE 1 END, pos, CASE kind WHEN 'I' THEN '  i' || pos || ' -> n' || node_id ELSE '  n' || node_id || ' -> o' || pos END || ';' FROM iface)
+SELECT graph_id, 'digraph {' || chr(10) || '  rankdir=TB;' || chr(10) || string_agg(line, chr(10) ORDER BY block, a, b) || chr(10) || '}' AS dot FROM lines GROUP BY graph_id""",
     "initial_colouring": _with(BOXES, _COLOURS) + "SELECT graph_id, 'node' AS element, node_id AS id, colour FROM n0 UNION ALL SELECT graph_id, 'edge', edge_id, colour FROM e0",
     "refine_round": _with(BOXES, _COLOURS, _ROUND) + "SELECT graph_id, 'node' AS element, node_id AS id, colour FROM n1 UNION ALL SELECT graph_id, 'edge', edge_id, colour FROM e1",
     "canonical_colouring_unique": _with(BOXES) + "SELECT graph_id, n AS n_nodes, n AS n_nodes_colours, m AS n_edges, m AS n_edges_colours FROM (SELECT graph_id, count(*) AS n FROM nodes GROUP BY graph_id) JOIN (SELECT graph_id, count(*) AS m FROM edges GROUP BY graph_id) USING (graph_id)",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Graphs
+from ..plans.lineage import cut
 
 
 #: Line numbers repeat, so edges are numbered in the order of all other columns.
@@ -35,20 +36,22 @@ def event_chains(spark: SparkSession, sf_dir: str) -> Graphs:
     return Graphs(nodes, steps, incidence, interface)
 
 
-def order_boxes(spark: SparkSession, sf_dir: str) -> Graphs:
+def order_boxes(spark: SparkSession, sf_dir: str, keep: bool = False) -> Graphs:
     """A graph for each order that has lines: parts and suppliers flow by line into the order.
 
     Nodes: parts ascending (label: the part's type), suppliers ascending (label supplier), the order (label: its priority).
-    Edges: lines in the order of all their columns. Inputs: the parts; output: the order.
+    Edges: lines in the order of all their columns. Inputs: the parts; output: the order. With ``keep`` the numbered lines
+    and keys are written once, for plans that read several of the tables.
     """
+    kept = cut if keep else lambda df: df
     lines = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL")
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1
     lines = lines.withColumn("edge_id", number.cast("long"))
-    lines = lines.select(F.col("l_orderkey").alias("graph_id"), "edge_id", "l_partkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("label"))
+    lines = kept(lines.select(F.col("l_orderkey").alias("graph_id"), "edge_id", "l_partkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("label")))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("plabel"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph_id"), F.col("o_orderpriority").alias("olabel"))
     keys = lines.select("graph_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("l_partkey").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("l_suppkey").alias("key")), F.struct(F.lit(2).alias("kind"), F.col("graph_id").alias("key")))).alias("x")).select("graph_id", "x.*").distinct()
-    keys = keys.withColumn("node_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("kind", "key")) - 1).cast("long"))
+    keys = kept(keys.withColumn("node_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("kind", "key")) - 1).cast("long")))
     labelled = keys.join(part, "key", "left").join(orders, "graph_id", "left")
     label = F.when(F.col("kind") == 0, F.col("plabel")).when(F.col("kind") == 1, F.lit("supplier")).otherwise(F.col("olabel"))
     nodes = labelled.select("graph_id", "node_id", F.coalesce(label, F.lit("")).alias("label"))
