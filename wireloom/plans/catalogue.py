@@ -192,7 +192,7 @@ def chain_equality_classes(spark, d):
 
 
 def _mc(spark, d):
-    both, pairs = _copies(_chains(spark, d))
+    both, pairs = _copies(_chains(spark, d).map(cut))
     return match.match_monogamous(both, pairs)
 
 
@@ -228,14 +228,14 @@ def disconnected_match(spark, d):
 
 
 def initial_colouring(spark, d):
-    nodes, edges = refine.initial_ranks(_boxes(spark, d, True))
+    nodes, edges = refine.initial_ranks(_boxes(spark, d))
     part = lambda df, what, key: df.select("graph_id", F.lit(what).alias("element"), F.col(key).alias("id"), "colour")
     return part(nodes, "node", "node_id").unionAll(part(edges, "edge", "edge_id"))
 
 
 def refine_round(spark, d):
-    g = _boxes(spark, d, True).map(cut)
-    nodes, edges = refine.rank_round(g, *map(cut, refine.initial_ranks(g)))
+    g = _boxes(spark, d, True)
+    nodes, edges = refine.rank_round(g, *refine.initial_ranks(g))
     part = lambda df, what, key: df.select("graph_id", F.lit(what).alias("element"), F.col(key).alias("id"), "colour")
     return part(nodes, "node", "node_id").unionAll(part(edges, "edge", "edge_id"))
 
