@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..model import Graphs, from_rows
-from ..operators import components, derive, match, refine, stats, validate
+from ..operators import canonical, components, derive, match, refine, stats, validate
 from ..sources import dot, families, generate, json_graphs
 from .lineage import cut, shared_path
 
@@ -316,6 +316,20 @@ def regular_match(spark, d):
     return match.match(g, pairs).verdict.select("pair_id", "isomorphic")
 
 
+def regular_forms(spark, d):
+    g = from_rows(spark, _regular())
+    _, forms = canonical.canonical_form(g)
+    return forms.groupBy(F.expr("graph_id div 2").alias("pair_id")).agg((F.countDistinct("form") == 1).alias("isomorphic"))
+
+
+def canonical_form_classes(spark, d):
+    """The forms of all chains and of renumbered copies, by the first chain of each."""
+    both, _ = _copies(_chains(spark, d).map(cut), seed=42)
+    _, forms = canonical.canonical_form(both)
+    first = F.min(F.when(F.col("graph_id") >= 0, F.col("graph_id")))
+    return forms.groupBy("form").agg(first.alias("class_graph"), F.count("*").alias("n_graphs")).drop("form")
+
+
 def random_graph(spark, d):
     g = generate.random_hypergraphs(spark, 1000, 100, 20, 30, 40)
     found = stats.summary(g).select("graph_id", "n_nodes", "n_edges", "n_inputs", "n_outputs")
@@ -347,7 +361,7 @@ QUERIES = {
         monogamy_check, consistency_check, node_key_histogram, rarest_node_key, edge_signature_histogram, node_signature_histogram,
         histogram_diff, size_prefilter, basic_tests, edge_neighbourhood_classes, mc_match, mc_node_mapping, mc_edge_mapping,
         match_negative, connected_components, component_sizes, disconnected_match, initial_colouring, refine_round,
-        canonical_colouring_unique, permute_roundtrip, nonmonogamous_match, regular_match, random_graph, dot_export, json_export, json_roundtrip,
+        canonical_colouring_unique, permute_roundtrip, nonmonogamous_match, regular_match, regular_forms, canonical_form_classes, random_graph, dot_export, json_export, json_roundtrip,
         graph_listing, interface_match, edge_neighbourhood_diff, port_sensitivity, colouring_steps, dot_styles, json_files,
     )
 }

@@ -168,6 +168,8 @@ SELECT pair_id, n_src, n_tgt, n_tot, label, CAST(sum(a) AS BIGINT) AS n1, CAST(s
     "component_sizes": _recursive(_NETWORK) + """SELECT component, count(*) AS n_nodes, max(m) AS n_edges FROM comp
 JOIN (SELECT component, count(DISTINCT edge_id) AS m FROM m JOIN comp ON node_id = node GROUP BY component) USING (component) GROUP BY component""",
     "regular_match": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), false), (1, false), (2, true), (3, true), (4, false), (5, true)) t(pair_id, isomorphic)",
+    "regular_forms": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), false), (1, false), (2, true), (3, true), (4, false), (5, true)) t(pair_id, isomorphic)",
+    "canonical_form_classes": _with(CHAINS) + "SELECT min(graph_id) AS class_graph, 2 * count(*) AS n_graphs FROM (SELECT graph_id, string_agg(label, '|' ORDER BY edge_id) AS word FROM edges GROUP BY graph_id) GROUP BY word",
     "disconnected_match": _with(CHAINS) + """, words AS (SELECT graph_id, string_agg(label, '|' ORDER BY edge_id) AS word FROM edges GROUP BY graph_id),
 months AS (SELECT (graph_id // 100000) * 100000 + (graph_id % 100000) // 30 AS month, string_agg(word, ' ' ORDER BY word) AS words FROM words GROUP BY 1)
 SELECT month AS pair_id, words = lead(words) OVER w AS isomorphic FROM months WINDOW w AS (PARTITION BY month // 100000 ORDER BY month) QUALIFY lead(month) OVER w IS NOT NULL""",
