@@ -12,6 +12,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.lineage import cut_all
+
 SCHEMAS = {
     "nodes": "graph_id long, node_id long, label string",
     "edges": "graph_id long, edge_id long, label string",
@@ -32,6 +34,10 @@ class Graphs:
         """The tables after change(DataFrame)."""
         return Graphs(*[change(getattr(self, f.name)) for f in fields(self)])
 
+    def written(self) -> Graphs:
+        """The tables after ``cut``."""
+        return Graphs(*cut_all(*[getattr(self, f.name) for f in fields(self)]))
+
     def union(self, other: Graphs) -> Graphs:
         return Graphs(*[getattr(self, f.name).unionByName(getattr(other, f.name)) for f in fields(self)])
 

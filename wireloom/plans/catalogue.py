@@ -192,7 +192,7 @@ def chain_equality_classes(spark, d):
 
 
 def _mc(spark, d):
-    both, pairs = _copies(_chains(spark, d).map(cut))
+    both, pairs = _copies(_chains(spark, d).written())
     return match.match_monogamous(both, pairs)
 
 
@@ -262,7 +262,7 @@ def _runs(spark: SparkSession, d: str) -> Graphs:
 
 
 def interface_match(spark, d):
-    g = _runs(spark, d).map(cut)
+    g = _runs(spark, d).written()
     return match.match(g, _neighbours(g)).verdict.select("pair_id", "isomorphic")
 
 
@@ -283,7 +283,7 @@ def port_sensitivity(spark, d):
     """Each order's graph and a copy whose source ports are exchanged: equal only where ports don't count."""
     g = _boxes(spark, d, True)
     swapped = g.incidence.withColumn("port", F.when(F.col("role") == "S", 1 - F.col("port")).otherwise(F.col("port")))
-    both = g.union(Graphs(g.nodes, g.edges, swapped, g.interface).renumber(-F.col("graph_id") - 1)).map(cut)
+    both = g.union(Graphs(g.nodes, g.edges, swapped, g.interface).renumber(-F.col("graph_id") - 1)).written()
     source = F.when(F.col("graph_id") < 0, -F.col("graph_id") - 1).otherwise(F.col("graph_id"))
     same = lambda name, **o: refine.certificates(both, **o).groupBy(source.alias("graph_id")).agg((F.countDistinct("certificate") == 1).alias(name))
     return same("equal_with_ports").join(same("equal_without_ports", ports=False), "graph_id")
@@ -295,7 +295,7 @@ def colouring_steps(spark, d):
 
 def dot_styles(spark, d):
     """Diagrams with highlights and colours, drawn top down."""
-    g = _chains(spark, d).map(cut)
+    g = _chains(spark, d).written()
     colour = lambda t, key: t.where(F.col(key) % 2 == 0).select("graph_id", key, (F.col(key) % 5).alias("colour"))
     return dot.to_dot(g, "TB", [0], [1], colour(g.nodes, "node_id"), colour(g.edges, "edge_id"))
 
@@ -324,7 +324,7 @@ def regular_forms(spark, d):
 
 def canonical_form_classes(spark, d):
     """The forms of all chains and of renumbered copies, by the first chain of each."""
-    both, _ = _copies(_chains(spark, d).map(cut), seed=42)
+    both, _ = _copies(_chains(spark, d).written(), seed=42)
     _, forms = canonical.canonical_form(both)
     first = F.min(F.when(F.col("graph_id") >= 0, F.col("graph_id")))
     return forms.groupBy("form").agg(first.alias("class_graph"), F.count("*").alias("n_graphs")).drop("form")
