@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wireloom.llm import bpe, fingerprints, licenses, mixing, secrets, simhash, token_files, topk, toxicity, url_filters
@@ -103,11 +104,13 @@ def test_variable_length_coding():
         assert (token_files.decode_ranks(control, data, n) == ranks).all() and len(control) == -(-n // 4)
 
 
-def test_word_encoder_equals_library():
+@pytest.mark.parametrize(("name", "spelt"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_word_encoder_equals_library(name, spelt):
     from tokenizers import Tokenizer
 
-    path = token_files.word_tokenizer()
+    path = token_files.word_tokenizer(name)
     whole, mine = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    assert mine.spelt == spelt
     rng = random.Random(1)
     pool = "abcXYZ'’ sré ßÀÿªº²½0129\t\n\u00a0\u0085\u001c.,!?-_<>|#$€Σσςİıﬁ中文한글é\u0301😀ǅ"
     texts = ["".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(3000)] + ["<|endoftext|>x", "a<|startoftext|>'s"]

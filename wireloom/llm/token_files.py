@@ -14,6 +14,8 @@ pieces go to the library's model; so are the Latin-1 words of other texts, split
 drops), but their other words go through the whole library. Answers are cached in two generations: entries that are met
 again move from the old one to the young one, and when the young one is full it becomes the old one, whose rest goes.
 
+Another tokenizer, whose normalizer or pre-tokenizer isn't the one spelt out here, gets whole texts.
+
 Nulls count as empty texts; an empty text has only the end id. Rows of equal (or null, which come first) doc_id follow
 by their ids. An empty table gives no blocks. Extra columns are not read.
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 import array
 import functools
 import itertools
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -42,7 +45,16 @@ BLOCK = 1 << 19
 ROWS_PER_BUCKET = 8192
 #: The vocabulary's size is the bound of the rank table: it goes to the driver and to all tasks.
 MAX_VOCABULARY = 1 << 20
-#: The tokenizer's own pattern for lower-case Latin-1, spelt out.
+#: The normalizer and pre-tokenizer that PIECE stands for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The same pattern for lower-case Latin-1, spelt out.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 #: UTF-8 lead bytes of code points from U+0100 on.
@@ -89,6 +101,8 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        form = json.loads(self.whole.to_str())
+        self.spelt = form["normalizer"] == NORMALIZER and form["pre_tokenizer"] == PRE_TOKENIZER
         visible = _visible()
         self.alphabet = [visible[b] for b in range(256)]
         self.special = tuple(t.content.encode() for t in self.whole.get_added_tokens_decoder().values())
@@ -122,6 +136,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of ``kind``."""
+        if not self.spelt:
+            return array.array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         keys = self.keys(text)
         young = self.known.young
         for k in set(keys).difference(young):
