@@ -5,7 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline as pipeline
-from wireloom.llm import bpe, common, secrets, simhash, toxicity
+from wireloom.llm import bpe, common, minhash, secrets, simhash, toxicity
 
 
 def rows(df):
@@ -126,3 +126,24 @@ def test_near_dedup_tells_rows_apart(spark):
     got = pipeline.near_dedup_stage(spark, spark.createDataFrame(data, SHAPE), "").collect()
     assert sorted(r.text for r in got) == sorted(texts)
     assert {r.doc_id for r in got if r.text == texts[2]} == {3}
+
+
+def test_near_dedup_has_simhash_candidates(spark):
+    """The sets that share a SimHash group are those whose fingerprints three bits connect."""
+    base = prose("long", 4000)
+    texts = [" ".join(base[:i] + ["new"] * (i > 0) + base[i + 1 :]) for i in (0, 7, 900, 2500)] + [" ".join(prose(f"other-{k}", 300)) for k in range(20)]
+    rows = spark.createDataFrame([(k, k, k, t) for k, t in enumerate(texts)], "r1 long, r2 long, id long, text string")
+    signed = minhash.signatures(rows).cache()
+    fp = {r.id: r.fp for r in signed.collect()}
+    value = {r.fp: r.value for r in minhash.simhash_groups(signed).collect()}
+    sims = [simhash.simhash(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sims):
+            for j, b in enumerate(sims):
+                if (a ^ b).bit_count() <= 3:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert len(set(root)) < len(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (root[i] == root[j]) == (value[fp[i]] == value[fp[j]])

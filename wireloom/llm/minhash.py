@@ -1,6 +1,8 @@
-"""Near copies by exact Jaccard similarity of shingle sets, with MinHash bands only as candidates.
+"""Near copies by exact Jaccard similarity of shingle sets, with SimHash components and MinHash bands as candidates.
 
-Bands of ROWS minima each: a pair of similarity s meets in one of BANDS bands with probability 1 - (1 - s^ROWS)^BANDS, which is
+SimHash fingerprints of the same shingles are linked by ``simhash.links`` (byte-position inverted index, count filtering, at most
+three bits); each component is a bucket of candidates. Three bits seldom reach a similarity of 0.8, so MinHash bands add buckets:
+bands of ROWS minima each, in which a pair of similarity s meets in one of BANDS bands with probability 1 - (1 - s^ROWS)^BANDS, which is
 0.99993 at 0.8 and more above it. Equal sets meet before the bands, so copies never make pairs. In each bucket all members
 are compared with its least one; buckets that are not yet of one component then compare all members of different components.
 Every link has been verified: shingles are 64-bit hashes, intersections are counted in full.
@@ -46,19 +48,32 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def signatures(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """rows(r1, r2, id, text) as (r1, r2, id, fp, n, bands): fp names the set, n is its size."""
+    """rows(r1, r2, id, text) as (r1, r2, id, fp, n, sim, bands): fp names the set, n is its size, sim is the SimHash of all shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for b in batches:
-            sets = [shingles(t, words) for t in b.text]
+            sets, sims = [], []
+            for t in b.text:
+                hashes = simhash.shingle_hashes(t, words)
+                sets.append(np.unique(np.array(hashes, np.uint64)))
+                sims.append(simhash.majority(hashes))
             fp = [xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63) for s in sets]
-            out = b[["r1", "r2"]].assign(id=b["id"].astype("Int64"), fp=fp, n=[len(s) for s in sets])
+            out = b[["r1", "r2"]].assign(id=b["id"].astype("Int64"), fp=fp, n=[len(s) for s in sets], sim=np.array(sims, np.uint64).view(np.int64))
             yield out.assign(bands=[bands(s) if len(s) else [] for s in sets])
 
     common.bound_arrow_batches(rows.sparkSession)
-    return rows.mapInPandas(run, "r1 long, r2 long, id long, fp long, n int, bands array<long>")
+    return rows.mapInPandas(run, "r1 long, r2 long, id long, fp long, n int, sim long, bands array<long>")
+
+
+def simhash_groups(signed: DataFrame) -> DataFrame:
+    """(fp, n, band, value): the sets by SimHash component, as a band after the others. A set whose texts repeat shingles
+    unlike often may be in several."""
+    sims = common.written(signed.where("n > 0").select("fp", "n", "sim").distinct(), "simhashes")
+    roots = simhash.components(simhash.links(sims.select(F.col("sim").alias("fp")).distinct()))
+    of = sims.join(roots.withColumnRenamed("node", "sim"), "sim", "left").select("fp", "n", F.lit(BANDS).alias("band"), F.coalesce("root", "sim").alias("value"))
+    return common.written(of.distinct(), "simhash-groups")
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -106,7 +121,7 @@ def components(rows: DataFrame, words: int = WORDS, least: float = SIMILARITY) -
     signed = common.written(signatures(rows, words), "minhash")
     nodes = signed.groupBy("fp").agg(F.min(F.struct("r1", "r2")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = common.written(nodes, "shingle-sets")
-    postings = nodes.select("fp", "n", F.posexplode("bands").alias("band", "value"))
+    postings = nodes.select("fp", "n", F.posexplode("bands").alias("band", "value")).unionByName(simhash_groups(signed))
     buckets = postings.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("fp").alias("low"), F.bit_xor(F.xxhash64("fp")).alias("mix")).where("size > 1")
     # Bands that hold the same members are looked at once.
     buckets = common.written(buckets.groupBy("size", "low", "mix").agg(F.min(F.struct("band", "value")).alias("x")).select("size", "low", "x.*"), "buckets")

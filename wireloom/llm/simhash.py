@@ -51,7 +51,10 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
 
 def simhash(text: str | None, words: int) -> int:
     """Bits that are set in over half of the shingles' hashes; zero without words."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: list[int]) -> int:
     if not hashes:
         return 0
     counts = np.zeros(64, np.int64)
