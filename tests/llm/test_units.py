@@ -354,6 +354,49 @@ def test_long_pre_tokens_merge_as_short_ones():
         assert bpe.merge_long(piece, codec.ranks) == tuple(codec.ranks[p] for p in parts)
 
 
+def definition(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while ranked := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(ranked)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_unseen_pre_tokens_are_merged_side_by_side():
+    import time
+
+    codec = bpe.Codec(bpe.rank_file())
+    rng = random.Random(9)
+    words = list(dict.fromkeys(" " + "".join(rng.choices("aabtheingéñß", k=rng.randint(6, 14))) for _ in range(30_000)))
+    t = time.process_time()
+    ((ids, offsets),) = codec.encode_texts(["".join(words)])
+    at_once = time.process_time() - t
+    for w, a, b in list(zip(words, offsets, [*offsets[1:], len(ids)], strict=True))[::20]:
+        assert ids[a:b] == definition(w.encode(), codec.ranks), w
+    t = time.process_time()
+    for w in words:
+        bpe.merge_long(w.encode(), codec.ranks)
+    assert at_once < 0.6 * (time.process_time() - t)
+
+
+def test_pairs_in_small_slices(monkeypatch):
+    import tiktoken
+
+    import public_tokenizers as P
+
+    codec = bpe.Codec(bpe.rank_file())
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    a, b = (np.array([codec.ranks[x] for x in y], np.int32) for y in ((b"t", b"e", b"\x00"), (b"h", b"r", b"\xff")))
+    assert codec.pairs.rank(a, b).tolist() == [codec.ranks[b"th"], codec.ranks[b"er"], bpe.NEVER]
+    for name, value in (("CACHE", 50), ("SLICE", 7), ("ROWS", 3), ("RUN", 5), ("CHUNK", 300)):
+        monkeypatch.setattr(bpe, name, value)
+    rng = random.Random(10)
+    texts = ["", " ", *("".join(rng.choices("aaabnthé zß中\n9😀", k=rng.randint(0, 200))) for _ in range(300)), "", "ab" * 2000, "a" * 64, "aé" * 22]
+    for t, (ids, offsets) in zip(texts, codec.encode_texts(texts), strict=True):
+        assert ids == e.encode_ordinary(t) and b"".join(codec.decode_runs(ids, offsets)) == t.encode(), t
+        assert len(codec.cache) <= 50 + 7
+
+
 def test_decoding_by_offsets(spark):
     texts = [(1, "one two  three's"), (2, ""), (3, None), (4, "a " * 10_000)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
