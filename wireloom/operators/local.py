@@ -357,3 +357,216 @@ def certificates(graphs: Graphs, ports: dict[str, bool]) -> tuple[DataFrame, Dat
     """((graph_id, a certificate for each name of ``ports``), ids of the graphs that are left)."""
     work = lambda b: [pa.array(b.ids), *[pa.array(hashes(b, p)) for p in ports.values()]]
     return run(graphs, work, ", ".join(["graph_id long", *[f"{name} long" for name in ports], "is_left boolean"]))
+
+
+# Pairs.
+
+EQUAL, SIZES, REFINEMENT, LEFT = range(4)
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """Spark's xxhash64 of longs after ``seed``, the hash of the columns before."""
+    one, two, three, four, five = (np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = np.broadcast_to(np.asarray(seed).astype(np.int64).view(np.uint64), x.shape) + (five + np.uint64(8))
+    h = turn(h ^ (turn(x.view(np.uint64) * two, 31) * one), 27) * one + four
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _renumbered(g: np.ndarray, ids: np.ndarray, graph_ids: np.ndarray, begin: int) -> np.ndarray:
+    """New numbers as ``generate.shuffled`` gives them; begin: the hash of its seed and key."""
+    order = np.lexsort((ids, _hash_long(ids, _hash_long(graph_ids[g], begin)), g))
+    out = np.empty(len(g), np.int64)
+    out[order] = np.arange(len(g)) - _runs(g[order]) if len(g) else 0
+    return out
+
+
+def copied(b: Batch, begin: tuple[int, int]) -> Batch:
+    """The graphs, and after them in the same order their copies of ``generate.permute``, whose rows are in the order of the new numbers."""
+    n = len(b.ids)
+    nodes, edges = _renumbered(b.ng, b.nid, b.ids, begin[0]), _renumbered(b.eg, b.eid, b.ids, begin[1])
+    by_node, by_edge = np.lexsort((nodes, b.ng)), np.lexsort((edges, b.eg))
+    node_at, edge_at = np.empty(len(nodes), np.int64), np.empty(len(edges), np.int64)
+    node_at[by_node], edge_at[by_edge] = np.arange(len(nodes)), np.arange(len(edges))
+    te, tn, on = edge_at[b.te], node_at[b.tn], node_at[b.on]
+    by_end, by_outer = np.argsort(te, kind="stable"), np.argsort(on, kind="stable")
+    both = lambda x, y: np.concatenate([x, y])
+    out = Batch()
+    out.ids, out.labels = both(b.ids, -b.ids - 1), b.labels
+    out.ng, out.nid, out.nlabel = both(b.ng, b.ng[by_node] + n), both(b.nid, nodes[by_node]), both(b.nlabel, b.nlabel[by_node])
+    out.eg, out.eid, out.elabel = both(b.eg, b.eg[by_edge] + n), both(b.eid, edges[by_edge]), both(b.elabel, b.elabel[by_edge])
+    out.te, out.tn = both(b.te, te[by_end] + len(edges)), both(b.tn, tn[by_end] + len(nodes))
+    out.role, out.port = both(b.role, b.role[by_end]), both(b.port, b.port[by_end])
+    out.on, out.kind, out.pos = both(b.on, on[by_outer] + len(nodes)), both(b.kind, b.kind[by_outer]), both(b.pos, b.pos[by_outer])
+    return out
+
+
+class _Pairs:
+    """Rows of some pairs, n in all: pn and sn are a node's pair and side, pe and se an edge's; te, tn and on are places among the rows here."""
+
+    def only(self, pairs: np.ndarray) -> tuple[_Pairs, np.ndarray, np.ndarray]:
+        """(the rows of the pairs of the mask, masks of the nodes and edges that stay)."""
+        nodes, edges = pairs[self.pn], pairs[self.pe]
+        ends, outer = edges[self.te], nodes[self.on]
+        out = _Pairs()
+        out.n = self.n
+        out.pn, out.sn, out.nid, out.nlabel = (x[nodes] for x in (self.pn, self.sn, self.nid, self.nlabel))
+        out.pe, out.se, out.eid, out.elabel, out.box = (x[edges] for x in (self.pe, self.se, self.eid, self.elabel, self.box))
+        out.te, out.tn = (np.cumsum(edges) - 1)[self.te[ends]], (np.cumsum(nodes) - 1)[self.tn[ends]]
+        out.what, out.place = self.what[ends], self.place[ends]
+        out.on, out.outer = (np.cumsum(nodes) - 1)[self.on[outer]], self.outer[outer]
+        return out, nodes, edges
+
+
+def _sides(pair: np.ndarray, side: np.ndarray, colour: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order by pair and colour, place in it where each class begins, members of either side in each class)."""
+    order = np.lexsort((colour, pair))
+    p, c = pair[order], colour[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
+    first, of = np.flatnonzero(new), np.cumsum(new) - 1
+    right = np.bincount(of, weights=side[order], minlength=len(first)).astype(np.int64)
+    return order, first, np.bincount(of, minlength=len(first)) - right, right
+
+
+def _refined(x: _Pairs, colour: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node colours, edge colours, mask of the pairs whose sides differ in them), as ``refine.refine`` but by hashes of its own.
+
+    A pair's rounds end when one splits none of its nodes' classes, or its sides differ, as they then do in every later round.
+    """
+    n, nodes, edges = x.n, colour.copy(), np.zeros(len(x.pe), np.uint64)
+    at_node, at_edge, live = np.arange(len(x.pn)), np.arange(len(x.pe)), x
+    apart, open_ = np.zeros(n, bool), np.zeros(n, bool)
+    open_[x.pn] = open_[x.pe] = True
+
+    def classes(pair: np.ndarray, side: np.ndarray, colour: np.ndarray) -> np.ndarray:
+        order, first, left, right = _sides(pair, side, colour, n)
+        of = pair[order[first]]
+        apart[of[left != right]] = True
+        return np.bincount(of, minlength=n)
+
+    count = classes(x.pn, x.sn, colour)
+    while open_.any():
+        edge = _mix(live.box + _sum(live.te, _mix(colour[live.tn] ^ live.place, 8), len(live.pe)), 9)
+        colour = _mix(_mix(colour, 10) + _sum(live.tn, _mix(edge[live.te] ^ live.place, 11), len(colour)), 12)
+        nodes[at_node], edges[at_edge] = colour, edge
+        now = classes(live.pn, live.sn, colour)
+        open_ &= (now > count) & ~apart
+        count = now
+        if 2 * np.count_nonzero(open_[live.pn]) < len(live.pn):
+            live, stay, stay_edges = live.only(open_)
+            at_node, at_edge, colour = at_node[stay], at_edge[stay_edges], colour[stay]
+    classes(x.pe, x.se, edges)
+    return nodes, edges, apart
+
+
+def _same(pair: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], wrong: np.ndarray) -> None:
+    """Marks the pairs whose rows differ between left and right as multisets; rows that are sorted by their first keys are so by pair, too."""
+    odd = np.bincount(pair[0], minlength=len(wrong)) != np.bincount(pair[1], minlength=len(wrong))
+    wrong |= odd
+    sides = []
+    for p, rows in zip(pair, (left, right), strict=True):
+        rows = [p, *rows]
+        if odd.any():
+            rows = [r[~odd[p]] for r in rows]
+        order = np.lexsort(rows[::-1])
+        sides.append([r[order] for r in rows])
+    differ = np.zeros(len(sides[0][0]), bool)
+    for a, b in zip(*sides, strict=True):
+        differ |= a != b
+    for rows in sides:
+        wrong[rows[0][differ]] = True
+
+
+def _verified(x: _Pairs, nodes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Mask of the pairs whose mapping breaks the definition. Each node colour has one node of either side, and the members of an
+    edge colour, as many on either side, meet in the order of their ids: so both mappings are bijections."""
+    wrong = np.zeros(x.n, bool)
+    to = []
+    for pair, side, ids, label, colour in ((x.pn, x.sn, x.nid, x.nlabel, nodes), (x.pe, x.se, x.eid, x.elabel, edges)):
+        order = np.lexsort((ids, colour, pair))
+        left, right = order[side[order] == 0], order[side[order] == 1]
+        wrong[pair[left][(pair[left] != pair[right]) | (label[left] != label[right])]] = True
+        image = np.arange(len(pair))
+        image[left] = right
+        to.append(image)
+    first, second = x.se[x.te] == 0, x.se[x.te] == 1
+    pair = x.pe[x.te]
+    _same((pair[first], pair[second]), (to[1][x.te[first]], to[0][x.tn[first]], x.what[first]), (x.te[second], x.tn[second], x.what[second]), wrong)
+    first, second = x.sn[x.on] == 0, x.sn[x.on] == 1
+    pair = x.pn[x.on]
+    _same((pair[first], pair[second]), (to[0][x.on[first]], x.outer[first]), (x.on[second], x.outer[second]), wrong)
+    return wrong
+
+
+def verdicts(b: Batch, n: int) -> np.ndarray:
+    """Of graph i and graph n + i for each i < n: EQUAL, SIZES or REFINEMENT as ``match.match`` has them, or LEFT to it.
+
+    Pairs are refined jointly. What that leaves symmetric is individualised, the member of the least id on either side, and refined
+    again until all colours are single. EQUAL is said only of a mapping that meets the definition, and an individualised pair
+    whose sides come to differ is left, as another image may do.
+    """
+    x, out = _Pairs(), np.full(n, -1)
+    kinds = b.ng[b.on]
+    for g in (b.ng, b.eg, kinds[b.kind == 0], kinds[b.kind == 1]):
+        count = np.bincount(g, minlength=2 * n)
+        out[count[:n] != count[n:]] = SIZES
+    text = np.array([0, *[int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little") for s in b.labels]], np.uint64)
+    x.n, x.pn, x.sn, x.nid, x.nlabel = n, b.ng % n, b.ng // n, b.nid, b.nlabel
+    x.pe, x.se, x.eid, x.elabel, x.box = b.eg % n, b.eg // n, b.eid, b.elabel, _mix(text[b.elabel], 7)
+    x.te, x.tn, x.what = b.te, b.tn, (b.port << 1) + b.role
+    x.place = _mix(_mix(b.port, 1) + b.role.astype(np.uint64), 2)
+    x.on, x.outer = b.on, (b.pos << 1) + b.kind
+    colour = _mix(_mix(text[b.nlabel], 3) + _sum(b.on, _mix(_mix(b.pos, 4) + b.kind.astype(np.uint64), 5), len(b.ng)), 6)
+    here, why, count = out < 0, REFINEMENT, np.zeros(n, np.int64)
+    while here.any():
+        x, stay, _ = x.only(here)
+        colour = colour[stay]
+        if why == LEFT:
+            # Of each pair's classes of several the smallest, of those the first.
+            order, first, left, _ = _sides(x.pn, x.sn, colour, n)
+            of = x.pn[order[first]]
+            many = np.flatnonzero(left > 1)
+            many = many[np.lexsort((colour[order[first[many]]], left[many], of[many]))]
+            chosen = many[np.unique(of[many], return_index=True)[1]]
+            k = 2 * left[chosen]
+            members = order[np.repeat(first[chosen] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            members = members[np.lexsort((x.nid[members], x.sn[members], x.pn[members]))]
+            at = np.unique(2 * x.pn[members] + x.sn[members], return_index=True)[1]
+            colour[members[at]] = _mix(colour[members[at]], 20)
+        nodes, edges, apart = _refined(x, colour)
+        out[here & apart] = why
+        here &= ~apart
+        order, first, left, _ = _sides(x.pn, x.sn, nodes, n)
+        of = x.pn[order[first]]
+        symmetric = np.zeros(n, bool)
+        symmetric[of[left > 1]] = True
+        # Only where hashes collide doesn't a new colour make more classes.
+        now = np.bincount(of, minlength=n)
+        stuck = here & symmetric & (now <= count)
+        out[stuck] = LEFT
+        here, count = here & ~stuck, now
+        single, keep, keep_edges = x.only(here & ~symmetric)
+        wrong = _verified(single, nodes[keep], edges[keep_edges])
+        done = here & ~symmetric
+        out[done] = np.where(wrong[done], LEFT, EQUAL)
+        here, colour, why = here & symmetric, nodes, LEFT
+    return out
+
+
+def match_copies(graphs: Graphs, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """((graph_id, isomorphic) of each graph and its copy of ``generate.permute``, ids of the graphs that are left)."""
+    spark = graphs.nodes.sparkSession
+    begin = tuple(spark.range(1).select(*[F.xxhash64(F.lit(seed), F.lit(key)) for key in ("node_id", "edge_id")]).first())
+
+    def work(b: Batch) -> list[pa.Array]:
+        found = verdicts(copied(b, begin), len(b.ids))
+        return [pa.array(b.ids), pa.array(found.astype(np.int32))]
+
+    out, rest = run(graphs, work, "graph_id long, verdict int, is_left boolean")
+    unsure = out.where(F.col("verdict") == LEFT).select("graph_id")
+    if not unsure.isEmpty():
+        rest = unsure if rest is None else rest.unionAll(unsure)
+    return out.where(F.col("verdict") != LEFT).select("graph_id", (F.col("verdict") == EQUAL).alias("isomorphic")), rest
