@@ -37,11 +37,12 @@ def _rows(graphs: Graphs) -> DataFrame:
     return nodes.unionAll(edges).unionAll(ends).unionAll(outer)
 
 
-def run(graphs: Graphs, work: Callable[[Batch], pa.Table], schema: str) -> tuple[DataFrame, DataFrame | None]:
+def run(graphs: Graphs, work: Callable[[Batch], pa.Table], schema: str, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(work's rows, graph ids left to the distributed way or None). ``schema`` begins with graph_id; its last column says
-    whether a row only names a graph that is left."""
+    whether a row only names a graph that is left. sizes: (graph_id, n) of every graph, n at least the number of its rows, where that is
+    cheaper than to count them."""
     rows = _rows(graphs)
-    sizes = rows.groupBy("graph_id").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("graph_id").agg(F.count("*").alias("n")) if sizes is None else sizes
     total, most, unnamed = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n"), F.count(F.when(F.col("graph_id").isNull(), 1))).first()
     if unnamed:
         return graphs.nodes.sparkSession.createDataFrame([], schema), cut(graphs.nodes.select("graph_id").unionAll(graphs.edges.select("graph_id")).distinct())
@@ -556,8 +557,8 @@ def verdicts(b: Batch, n: int) -> np.ndarray:
     return out
 
 
-def match_copies(graphs: Graphs, seed: int) -> tuple[DataFrame, DataFrame | None]:
-    """((graph_id, isomorphic) of each graph and its copy of ``generate.permute``, ids of the graphs that are left)."""
+def match_copies(graphs: Graphs, seed: int, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """((graph_id, isomorphic) of each graph and its copy of ``generate.permute``, ids of the graphs that are left). sizes: as in ``run``."""
     spark = graphs.nodes.sparkSession
     begin = tuple(spark.range(1).select(*[F.xxhash64(F.lit(seed), F.lit(key)) for key in ("node_id", "edge_id")]).first())
 
@@ -565,7 +566,7 @@ def match_copies(graphs: Graphs, seed: int) -> tuple[DataFrame, DataFrame | None
         found = verdicts(copied(b, begin), len(b.ids))
         return [pa.array(b.ids), pa.array(found.astype(np.int32))]
 
-    out, rest = run(graphs, work, "graph_id long, verdict int, is_left boolean")
+    out, rest = run(graphs, work, "graph_id long, verdict int, is_left boolean", sizes)
     unsure = out.where(F.col("verdict") == LEFT).select("graph_id")
     if not unsure.isEmpty():
         rest = unsure if rest is None else rest.unionAll(unsure)
